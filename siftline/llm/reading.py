@@ -28,10 +28,16 @@ _SEE = re.compile(r"\s*\(see `[^`]*`\)|`[^`\n]*`")
 #: What opens or closes a comment, docstring or list item on a line.
 _MARK = re.compile(r"^\s*(?:/\*+|\*+/|\*|//[/!]?|#+!?|--+|<!--|\"\"\"|'''|;+|>|[-+]\s|[rbu]?\"\"\"|%+)+[ \t]?")
 _CLOSE = re.compile(r"\s*(?:\*+/|-->|\"\"\"|''')\s*$")
+_OPENS = frozenset("/*#-<\"';>+rbu%`~")
+_ENDS = ("*/", "-->", '"""', "'''")
 #: Signs that running prose does not hold.
-_CODE = re.compile(r"[{}\[\]=<>|\;$@^~_&]|\w\(|\(\)|::|->|\w\.\w+\(|/\w+/|[A-Za-z]\d|\d[A-Za-z]{2}")
-_NOTE = re.compile(r"\b(?:TODO|FIXME|XXX|HACK|NOTE|BUG|NB)\b|^\s*(?:fix|see also|todo)\b", re.IGNORECASE)
-_NOTICE = re.compile(r"copyright|licen[cs]e|redistribut|warrant|\bliab|trademark|all rights|permission is|attribution|\bSPDX|generated (?:by|from|file)|do not edit|auto-?generated|machine[- ]generated|not be edited|regenerate|checked in by", re.IGNORECASE)
+_SIGN = re.compile(r"[{}\[\]=<>|\\;$@^~_&]")
+_CALL = re.compile(r"[(:/\d]")
+_CODE = re.compile(r"\w\(|\(\)|::|/\w+/|[A-Za-z]\d|\d[A-Za-z]{2}")
+#: To-do notes by their words; a note "fix ..." is short.
+_NOTES, _FIX_CHARS = ("TODO", "FIXME", "XXX", "HACK"), 48
+#: Words of licence notices and banners of generated files, in lower case.
+_NOTICES = ("copyright", "licence", "license", "redistribut", "warrant", "liable", "liabilit", "trademark", "all rights", "permission is", "attribution", "spdx", "generated by", "generated from", "generated file", "do not edit", "autogenerated", "auto-generated", "machine-generated", "not be edited")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')]*\s+")
 #: Small words that running prose has and lists of names have not.
 _SMALL = frozenset("a an and are as at be because before but by can do for from has have if in into is it its many may most must not of on one or our should so some than that the then there they this to try two us was we when whereas which while who whose will with you your each every any all after insofar notwithstanding".split())
@@ -47,24 +53,31 @@ def prose_blocks(text: str) -> list[str]:
         if held:
             block = " ".join(held)
             held.clear()
-            kept = [s for s in _SENTENCE.split(block) if not _NOTICE.search(s)]
+            low = block.lower()
+            kept = _SENTENCE.split(block)
+            if any(n in low for n in _NOTICES):
+                kept = [s for s in kept if not any(n in s.lower() for n in _NOTICES)]
             words = WORD.findall(" ".join(kept))
             if len(words) >= BLOCK_WORDS and any(c in block for c in ".?!") and sum(w.lower() in _SMALL for w in words) * 6 >= len(words):
                 blocks.append(" ".join(kept))
 
     for line in text.splitlines():
         bare = line.strip()
-        if bare.startswith(("```", "~~~")):
-            fenced = not fenced
+        if not bare or bare[-1] in ";{":
             close()
             continue
-        if fenced or not bare:
-            close()
-            continue
-        if (m := _MARK.match(line)) is not None:
-            bare = line[m.end() :].strip()
-        bare = _SEE.sub("", _CLOSE.sub("", bare))
-        if _NOTE.search(bare) or _CODE.search(bare) or not bare or bare.count(" ") * 12 < len(bare) - 24:
+        if bare[0] in _OPENS:
+            if bare.startswith(("```", "~~~")):
+                fenced = not fenced
+                close()
+                continue
+            if (m := _MARK.match(bare)) is not None:
+                bare = bare[m.end() :]
+        if bare.endswith(_ENDS):
+            bare = _CLOSE.sub("", bare)
+        if "`" in bare:
+            bare = _SEE.sub("", bare)
+        if fenced or not bare or _SIGN.search(bare) or (_CALL.search(bare) and _CODE.search(bare)) or bare.count(" ") * 12 < len(bare) - 24 or any(n in bare for n in _NOTES) or (len(bare) < _FIX_CHARS and bare[:4].lower() == "fix "):
             close()
             continue
         held.append(bare)
