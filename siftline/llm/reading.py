@@ -37,7 +37,7 @@ _CODE = re.compile(r"\w\(|\(\)|::|/\w+/|[A-Za-z]\d|\d[A-Za-z]{2}")
 #: To-do notes by their words; a note "fix ..." is short.
 _NOTES, _FIX_CHARS = ("TODO", "FIXME", "XXX", "HACK"), 48
 #: Words of licence notices and banners of generated files, in lower case.
-_NOTICES = ("copyright", "licence", "license", "redistribut", "warrant", "liable", "liabilit", "trademark", "all rights", "permission is", "attribution", "spdx", "generated by", "generated from", "generated file", "do not edit", "autogenerated", "auto-generated", "machine-generated", "not be edited")
+_NOTICES = ("copyright", "licence", "license", "redistribut", "warrant", " liable", " liabilit", "trademark", "all rights", "permission is", "attribution", "spdx", "generated by", "generated from", "generated file", "do not edit", "autogenerated", "auto-generated", "machine-generated", "not be edited")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')]*\s+")
 #: Small words that running prose has and lists of names have not.
 _SMALL = frozenset("a an and are as at be because before but by can do for from has have if in into is it its many may most must not of on one or our should so some than that the then there they this to try two us was we when whereas which while who whose will with you your each every any all after insofar notwithstanding".split())
