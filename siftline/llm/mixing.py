@@ -108,13 +108,13 @@ def draw(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
         tasks = -(-count // FAN_IN)
         last = tasks <= 1
         keyed = left.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, tasks // max(1, len(rate)) if not last else 1))))
-        level = cut(keyed.groupBy("source", "g").applyInPandas(lambda pdf, last=last: _round_groups(seed, last)(pdf), SCHEMA))
+        level = cut(keyed.groupBy("source", "g").applyInPandas(_round_groups(seed, last), SCHEMA))
         settled.append(level.where("settled"))
         if last:
             break
         left = level.where("not settled")
         if left.count() >= count:  # no more can be paired by groups: one open document a source
-            level = cut(left.groupBy("source").applyInPandas(lambda pdf: _round_groups(seed, True)(pdf), SCHEMA))
+            level = cut(left.groupBy("source").applyInPandas(_round_groups(seed, True), SCHEMA))
             settled.append(level.where("settled"))
             break
     drawn = settled[0]
