@@ -22,7 +22,12 @@ def entropy(s: Column) -> Column:
 def char_ngrams(s: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """All n-grams of the lower-cased text, shortest sizes first, with repeats; blanks collapse to one."""
     low = F.regexp_replace(F.lower(s), r"\s+", " ")
-    grams = [F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = [of(n) for n in sizes]
     return F.when(s.isNotNull(), F.flatten(F.array(*grams)))
 
 
@@ -77,7 +82,11 @@ def hex_le(v: Column, width: int = 4) -> Column:
 
 def nibble_mask(hexes: Column, width: int = 8) -> Column:
     """Hex characters equal in all values, ``?`` elsewhere; null if nothing is equal."""
-    at = [F.size(F.array_distinct(F.transform(hexes, lambda v, i=i: F.substring(v, i, 1)))) for i in range(1, width + 1)]
+
+    def kinds(i: int) -> Column:
+        return F.size(F.array_distinct(F.transform(hexes, lambda v: F.substring(v, i, 1))))
+
+    at = [kinds(i) for i in range(1, width + 1)]
     mask = F.concat(*[F.when(n == 1, F.substring(F.get(hexes, F.lit(0)), i, 1)).otherwise("?") for i, n in enumerate(at, 1)])
     return F.when(mask != "?" * width, mask)
 

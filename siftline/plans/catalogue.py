@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftline.plans import data_queries
+from siftline.plans import data_queries, frame_queries, search_queries
 
-MODULES = (data_queries,)
+MODULES = (data_queries, search_queries, frame_queries)
 
 
 def flagship(spark, d):
