@@ -21,7 +21,8 @@ def ngram_counts(words: DataFrame, column: str, min_df: float = 0.0) -> DataFram
     """``gram, cf, df, weight``: occurrences, words that hold it, log10 of occurrences; grams in a share of words below ``min_df`` are dropped."""
     w = words.where(F.col(column).isNotNull()).select(F.col(column).alias("w"))
     total = w.count()
-    per = w.select(F.monotonically_increasing_id().alias("i"), F.explode(char_ngrams(F.col("w"))).alias("gram")).groupBy("i", "gram").agg(F.count("*").alias("tf"))
+    numbered = w.withColumn("i", F.monotonically_increasing_id())
+    per = numbered.select("i", F.explode(char_ngrams(F.col("w"))).alias("gram")).groupBy("i", "gram").agg(F.count("*").alias("tf"))
     out = per.groupBy("gram").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     return out.where(F.col("df") >= min_df * total).select("gram", "cf", "df", F.log10("cf").alias("weight"))
 

@@ -105,7 +105,7 @@ def trees(sims: DataFrame, records: DataFrame, close: float = 0.0) -> DataFrame:
     """``component, parent, child, weight, inv_weight, label, is_meta`` of each component's tree; the root has a null parent."""
     comp = components(sims)
     edges = sims.where("src <> dst").join(comp.select(F.col("id").alias("src"), "component"), "src")
-    named = comp.join(records.select("id", "tokens"), "id").select("component", "id", "tokens")
+    named = comp.join(records.select("id", "tokens"), "id").select(F.col("component").alias("tree"), "id", "tokens")
     schema = "component bigint, parent string, child string, weight double, inv_weight double, label string, is_meta boolean"
 
     def build(e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def trees(sims: DataFrame, records: DataFrame, close: float = 0.0) -> DataFrame:
         rows += [(None, node, None, None) for node in forest.tokens if node not in forest.up]
         return pd.DataFrame([(int(e["component"].iloc[0]), p, c, s, i, forest.labels[c], c in forest.down) for p, c, s, i in rows], columns=["component", "parent", "child", "weight", "inv_weight", "label", "is_meta"])
 
-    return edges.groupBy("component").cogroup(named.groupBy("component")).applyInPandas(build, schema)
+    return edges.groupBy("component").cogroup(named.groupBy("tree")).applyInPandas(build, schema)
 
 
 def exemplars(tree: DataFrame) -> DataFrame:
