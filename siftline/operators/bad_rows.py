@@ -1,8 +1,8 @@
 """Rows that fail to parse, set apart with the reason while the valid ones are loaded.
 
 Blocks of records go through the columnar CSV parser and columnar checks at once. A block that
-fails is halved until single records are left; these are read by a strict automaton, which names
-the first reason in the order of ``REASONS``. Valid records come as typed columns.
+fails is halved until few records are left; these are read by a strict automaton, which names the
+first reason in the order of ``REASONS``. Valid records come as typed columns.
 
 A null record is an empty line. A repeated id counts once, by its smallest record; rows without an
 id are kept. Text may hold any character; an empty table gives no rows.
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 FIELDS = ("date", "domain", "ip", "reverse", "description", "registrant", "asn", "inactive", "country")
 REASONS = ("quoting", "column_count", "bad_domain", "bad_ip", "bad_registrant")
-BLOCK = 2048
+#: Records of a block, and of a failing part that is read strictly.
+BLOCK, LEAF = 2048, 16
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -140,15 +141,15 @@ def _fast(values: pa.Array) -> list[pa.Array] | None:
 
 def parse_block(values: pa.Array) -> tuple[list, list[list]]:
     """Reasons (None: valid) and the nine columns of a block, by bisection of failing parts."""
-    if (columns := _fast(values)) is not None:
+    if len(values) > LEAF and (columns := _fast(values)) is not None:
         return [None] * len(values), [c.to_pylist() for c in columns]
-    if len(values) > 1:
+    if len(values) > LEAF:
         half = len(values) // 2
         ra, ca = parse_block(values.slice(0, half))
         rb, cb = parse_block(values.slice(half))
         return ra + rb, [x + y for x, y in zip(ca, cb)]
-    reason, fields = diagnose(values[0].as_py())
-    return [reason], [[f] for f in fields or [None] * len(FIELDS)]
+    found = [diagnose(v) for v in values.to_pylist()]
+    return [reason for reason, _ in found], [list(c) for c in zip(*(fields or [None] * len(FIELDS) for _, fields in found))] or [[] for _ in FIELDS]
 
 
 def parsed(raw: DataFrame, id_col: str = "raw_id", value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
