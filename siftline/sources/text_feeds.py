@@ -73,16 +73,16 @@ def line_list(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """JSON documents, one a file, with ``file``, ``label`` (parent folder) and ``sha256`` (from the name) added."""
+    """JSON documents, one a file, with ``file``, ``label`` (parent folder) and ``file_sha256`` (from the name) added."""
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
     df = (reader.schema(schema) if schema else reader).json(path)
     name = F.input_file_name()
-    return df.select("*", name.alias("file"), F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("label"), F.regexp_extract(name, r"([0-9a-f]{64})", 1).alias("sha256"))
+    return df.select("*", name.alias("file"), F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("label"), F.regexp_extract(name, r"([0-9a-f]{64})", 1).alias("file_sha256"))
 
 
 ENGINE_SCANS = "md5 string, sha1 string, sha256 string, resource string, scan_id string, scan_date string, permalink string, verbose_msg string, positives int, total int, response_code int, scans map<string, struct<detected: boolean, version: string, result: string, update: string>>"
 
 
-def listed(df: DataFrame, hashes: DataFrame, key: str = "sha256", keep: bool = True) -> DataFrame:
+def listed(df: DataFrame, hashes: DataFrame, key: str = "file_sha256", keep: bool = True) -> DataFrame:
     """Rows whose hash is (or is not) in a list."""
     return df.join(hashes.select(F.lower(F.trim(hashes.columns[0])).alias(key)), key, "left_semi" if keep else "left_anti")
