@@ -16,18 +16,32 @@ from siftline.runtime import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id``, ``component`` (its smallest id): smallest labels spread along links, with label jumps."""
-    both = links.where("src <> dst").select("src", "dst").union(links.where("src <> dst").select("dst", "src")).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    """``id``, ``component`` (its smallest id), by contraction.
+
+    In each round every node points to its smallest neighbour if that is smaller, chains of pointers
+    are halved until all lead to their ends, and links are redrawn between the ends. Only local
+    minima stay, at most half of the nodes, so rounds and halvings are logarithmic.
+    """
+    edges = cut(links.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    labels = None
     while True:
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        new = labels.join(near, "id").select("id", F.least("component", "m").alias("c"))
-        jump = new.join(labels.select(F.col("id").alias("c"), F.col("component").alias("up")), "c", "left")
-        new = cut(jump.select("id", F.least("c", "up").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")))
+        while True:
+            over = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            up = cut(up.join(over, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            moved = up.where("moved").limit(1).count()
+            up = up.select("a", "p")
+            if not moved:
+                break
+        if labels is None:
+            labels = up.select(F.col("a").alias("id"), F.col("p").alias("component"))
+        else:
+            to = up.select(F.col("a").alias("component"), F.col("p").alias("top"))
+            labels = cut(labels.join(to, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
+        pa, pb = up.select("a", F.col("p").alias("x")), up.select(F.col("a").alias("b"), F.col("p").alias("y"))
+        edges = cut(edges.join(pa, "a").join(pb, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if not edges.limit(1).count():
             return labels
 
 
