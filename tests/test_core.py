@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import similarity, text
-from siftline.operators import clean, dga, graph, lsh, ml, morph, stats, yara
+from siftline.operators import clean, dga, file_rules, graph, lsh, ml, morph, stats, yara
 from siftline.sources import binary, text_feeds
 from siftline.streaming import headers, incremental
 
@@ -170,6 +170,19 @@ def test_binaries(spark, tmp_path):
     assert rows["LC_SYMTAB"] == 1 and rows["lc_symtab_nsyms"] == 5 and rows["lc_version_min"] == pytest.approx(10.7)
 
 
+def test_file_rules(spark, tmp_path):
+    text_ = file_rules.pe_rule(pe_image() + b"printable text", "x").text()
+    assert "{ 50 45 00 00 }" in text_ and "$pe_signature at 64" in text_ and "{ 2e 74 65 78 74 00 00 00 }" in text_ and b"printable text".hex(" ") in text_
+    assert file_rules.pe_rule(b"zz", "x").text() == "rule x\n{\n\ncondition:\n    filesize == 2\n}"
+    macho = struct.pack("<IIIIIIII", 0xFEEDFACF, 7, 3, 2, 2, 48, 0, 0) + struct.pack("<IIIIII", 2, 24, 100, 5, 200, 50) + struct.pack("<IIII", 0x24, 16, (10 << 16) | (7 << 8), 0)
+    made = file_rules.macho_rule(macho, "m").text()
+    assert "{ cf fa ed fe }" in made and "#LC_SYMTAB_count == 1" in made and "{ 24 00 00 00 10 00 00 00 ?? 07 0a 00 }" in made
+    cluster = file_rules.macho_cluster_rule("c", {"lc_symtab_nsyms": 5, "LC_UUID": 1, "lc_segment_64_vmsize": 4096}).text()
+    assert "{ 02 00 00 00 ?? ?? ?? ?? ?? ?? ?? ?? 05 00 00 00 }" in cluster and "{ 1b 00 00 00 ?? 00 00 00 }" in cluster and "LC_SEGMENT_64" in cluster
+    (tmp_path / "a").write_bytes(pe_image())
+    assert file_rules.file_rules(binary.files(spark, str(tmp_path))).first()["text"].startswith("rule f")
+
+
 def test_feeds(spark, tmp_path):
     (tmp_path / "z.log").write_text("#separator \\x09\n#fields\tts\torigin\tn\ttags\n#types\ttime\tstring\tcount\tset[string]\n1.5\tclient\t3\ta,b\n2\t-\t-\t(empty)\nshort\n#close\tx\n")
     rows = text_feeds.zeek(spark, str(tmp_path / "z.log")).orderBy("ts").collect()
