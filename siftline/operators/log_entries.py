@@ -3,10 +3,10 @@
 Each line's first tokens are put into classes (parts of a time, level words in their wrappings,
 names with pid or line number, numbers, words). The distinct class sequences of lines that hold a
 time are split by token count, then at the position with the fewest classes, then by one-to-one
-relations between two positions; the leaves are templates, whose constant positions make up a
-header and whose other positions are variable slots. A template that states a time and a component
-starts entries; its slots are then read from every line. JSON objects, on one line or several, are
-read by their keys.
+relations between two positions, until the header positions of a leaf are constant; the leaves are
+templates. The slots of component and level come from a leaf's constant positions: those of common
+layouts by their order, those of any other by where a level and a name stand after the time, if
+lines enough have that header. JSON objects, on one line or several, are read by their keys.
 
 Null lines are blank lines. Repeated line ids count once. Lines before the first record of a
 log_file belong to no entry; an empty table has no entries. Extra columns are ignored.
@@ -27,6 +27,10 @@ from siftline.runtime import cut, small
 
 #: Tokens of a line that are looked at; lines of a file that one window takes.
 HEAD, CHUNK = 9, 4096
+#: Positions that a header can take, all of which are constant in a leaf.
+HEADER = 8
+#: Lines that must share a header of no common layout.
+SUPPORT = 5
 #: Levels by the words that headers use (fixed values).
 LEVELS = {
     "DEBUG": ("debug", "trace", "dbg", "d", "t", "verbose", "finest", "finer", "fine"),
@@ -63,6 +67,7 @@ _CLASSES = [
 ]
 _WRAPS = ((re.compile(r"\[(\w+)\]"), "[LEVEL]"), (re.compile(r"<(\w+)>"), "<LEVEL>"), (re.compile(r"(\w+):"), "LEVEL:"), (re.compile(r"(\w+)"), "LEVEL"))
 _REST = [(re.compile(p), name) for p, name in ((r"\[[\w./:-]+\]", "[NAME]"), (r"[\w./-]+:", "NAME:"), (r"[A-Za-z_]\w*(?:\.\w+)+", "DOTTED"), (r"[A-Z]{2,5}", "CAPS"))]
+_LEVEL_CLASSES, _NAME_CLASSES = ("LEVEL", "[LEVEL]", "<LEVEL>", "LEVEL:", "KEY_LEVEL"), ("NAME[N]:", "NAME:", "FILE:N]", "[NAME]", "DOTTED", "KEY_NAME")
 _MEMBER = re.compile(r'\s*"([@\w.]+)"\s*:\s*"?([^",]*)"?,?\s*$')
 _TIME_KEYS, _NAME_KEYS, _LEVEL_KEYS = {"time", "timestamp", "ts", "@timestamp"}, {"logger", "component", "program", "module"}, {"level", "severity", "lvl"}
 
@@ -156,7 +161,7 @@ def partition(rows: list[tuple[tuple[str, ...], int]], depth: int = 0) -> list[l
     kinds = [{r[0][i] for r in rows} for i in range(width)]
     varied = [i for i in range(width) if len(kinds[i]) > 1]
     if not varied or len(rows) == 1 or depth > 2 * width:
-        return [rows]
+        return [rows] if not varied else _settled(rows, varied)
     # the header ends at the first position that takes many classes; nothing after it is worth a split
     best = min(varied, key=lambda i: (len(kinds[i]), i))
     first = varied[0]
@@ -174,7 +179,17 @@ def partition(rows: list[tuple[tuple[str, ...], int]], depth: int = 0) -> list[l
                 for r in rows:
                     groups[r[0][i]].append(r)
                 return [leaf for g in groups.values() for leaf in partition(g, depth + 1)]
-    return [rows]
+    return _settled(rows, varied)
+
+
+def _settled(rows: list[tuple[tuple[str, ...], int]], varied: list[int]) -> list[list[tuple[tuple[str, ...], int]]]:
+    """A leaf, split on where its header positions still vary."""
+    if varied[0] >= HEADER:
+        return [rows]
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[0][varied[0]]].append(r)
+    return [leaf for g in groups.values() for leaf in partition(g)]
 
 
 def slots(template: tuple[str, ...]) -> tuple[int, int] | None:
@@ -214,6 +229,18 @@ def slots(template: tuple[str, ...]) -> tuple[int, int] | None:
     return None
 
 
+def derived(template: tuple[str, ...]) -> tuple[int, int, str] | None:
+    """Slots of a header of no common layout, and its classes: the first level and the first name among the constant positions after the time."""
+    at = next((i for i, k in enumerate(template) if not k.startswith("T_") and k not in ("KEY_TIME", "N")), len(template))
+    rest = template[at : min(at + 4, HEADER)]
+    name = next((at + i for i, k in enumerate(rest) if k in _NAME_CLASSES), None)
+    # a bare level word behind the name may be the message's
+    level = next((at + i for i, k in enumerate(rest) if k in _LEVEL_CLASSES and (k != "LEVEL" or name is None or at + i < name)), None)
+    if not at or level is None or name is None:
+        return None
+    return name, level, " ".join(template[: max(name, level) + 1])
+
+
 def templates(shaped: DataFrame) -> DataFrame:
     """``shape``, ``template``, ``support``, ``name_at``, ``level_at`` of each class sequence."""
 
@@ -221,15 +248,20 @@ def templates(shaped: DataFrame) -> DataFrame:
         out = []
         for leaf in partition([(tuple(s.split(" ")), int(n)) for s, n in zip(pdf["shape"], pdf["n"])]):
             kinds = [Counter(r[0][i] for r in leaf) for i in range(len(leaf[0][0]))]
-            text = " ".join(next(iter(k)) if len(k) == 1 else "*" for k in kinds)
+            template = tuple(next(iter(k)) if len(k) == 1 else "*" for k in kinds)
             support = sum(n for _, n in leaf)
-            for sequence, _ in leaf:
-                found = slots(sequence)
-                out.append((" ".join(sequence), text, support, found[0] if found else None, found[1] if found else None))
-        return pd.DataFrame(out, columns=["shape", "template", "support", "name_at", "level_at"]).astype({"name_at": "Int32", "level_at": "Int32"})
+            found, header = slots(template), None
+            if found is None and (other := derived(template)):
+                found, header = other[:2], other[2]
+            for i, (sequence, _) in enumerate(leaf):
+                out.append((" ".join(sequence), " ".join(template), support, found[0] if found else None, found[1] if found else None, header, 0 if i else support))
+        return pd.DataFrame(out, columns=["shape", "template", "support", "name_at", "level_at", "header", "own"]).astype({"name_at": "Int32", "level_at": "Int32"})
 
     counted = shaped.where("head is not null").groupBy("shape").agg(F.count("*").alias("n"))
-    return counted.groupBy(F.size(F.split("shape", " ")).alias("width")).applyInPandas(lambda pdf: leaves(pdf), "shape string, template string, support bigint, name_at int, level_at int")
+    found = counted.groupBy(F.size(F.split("shape", " ")).alias("width")).applyInPandas(lambda pdf: leaves(pdf), "shape string, template string, support bigint, name_at int, level_at int, header string, own bigint")
+    # leaves of any length that share a header of no common layout support it together
+    enough = F.col("header").isNull() | (F.sum("own").over(Window.partitionBy("header")) >= SUPPORT)
+    return found.withColumn("enough", enough).select("shape", "template", "support", *[F.when(F.col("enough"), F.col(c)).alias(c) for c in ("name_at", "level_at")])
 
 
 def _level(word):

@@ -119,3 +119,13 @@ def test_bad_records(spark):
     assert found(bad_rows.bad_records(raw)) == [(2, "column_count"), (3, "column_count"), (4, "bad_domain")]
     assert sorted(r["row_id"] for r in bad_rows.loaded(raw).collect()) == [1, 5]
     assert bad_rows.bad_records(raw.limit(0)).count() == bad_rows.loaded(raw.limit(0)).count() == 0
+
+
+def test_log_layouts_come_from_leaves(spark, monkeypatch):
+    rows = [(i, "f", i, f"2023-01-02 03:04:{i:02d} ERROR com.x.Store{'ABCDEFGHIJ'[i]} {'a b 1 c d e f'[: 2 * (i % 5) + 1]}", "") for i in range(8)]
+    rows += [(20, "g", 1, "Jan 10 06:28:26 h a[1]: x", ""), (21, "g", 2, "2023-01-02 03:04:05 {debug} seen once", "")]
+    df = spark.createDataFrame(rows, LOG)
+    assert found(log_entries.entries(df)) == [(i, i, f"com.x.Store{'ABCDEFGHIJ'[i]}", "ERROR") for i in range(8)] + [(20, 21, "a", "")]
+    assert found(log_entries.entries(df.where("line_id in (0, 20, 21)"))) == [(20, 21, "a", "")]  # too few lines have that header
+    monkeypatch.setattr(log_entries, "partition", lambda rows, depth=0: [rows])
+    assert (0, 0, "com.x.StoreA", "ERROR") not in found(log_entries.entries(df))
