@@ -172,7 +172,37 @@ def regex_morph(spark, d):
     return morph.learn(x, "origin", "sample_id")
 
 
-QUERIES = {f.__name__: f for f in (lsh_signatures, lsh_bands, lsh_candidate_pairs, lsh_bin_limit, lsh_overflow, lsh_dedup, lsh_jaccard_pairs, lsh_levenshtein_pairs, lsh_levenshtein_distance_pairs, lsh_tapered_pairs, lsh_tapered_distance_pairs, lsh_query_top_n, lsh_query_levenshtein, lsh_top_sims, lsh_reduction_stats, minhash_hex_slow, jaccard_order_parts, common_tokens_ordered, array_set_ops, string_filter, node_labels, syslog_labels, syslog_tokens, token_counter_map, components, hcluster_edges, hcluster_exemplars, graph_counts, regex_morph)}
+def whole(spark, d):
+    """Token lists of all log lines that have one."""
+    return table(spark, d, "syslog").where("line_id is not null and features is not null").select(F.col("line_id").alias("id"), F.col("features").alias("tokens")).distinct()
+
+
+def all_signatures(spark, d):
+    return lsh.signatures(whole(spark, d), P).select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+
+
+def all_bands(spark, d):
+    return lsh.bands(lsh.signatures(whole(spark, d), P), P)
+
+
+def all_dedup(spark, d):
+    return lsh.memberships(whole(spark, d))
+
+
+def all_hex_slow(spark, d):
+    return lsh.slow_signatures(whole(spark, d), ("a", "b")).select("id", F.array_join("sig", ",").alias("sig"))
+
+
+def all_node_labels(spark, d):
+    return whole(spark, d).select("id", F.array_join("tokens", ":").alias("label"))
+
+
+def all_token_counts(spark, d):
+    toks = whole(spark, d).select("id", F.explode("tokens").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    return toks.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "n"))), lambda x: F.concat_ws("=", x["t"], x["n"].cast("string"))), " ").alias("counts"))
+
+
+QUERIES = {f.__name__: f for f in (lsh_signatures, lsh_bands, lsh_candidate_pairs, lsh_bin_limit, lsh_overflow, lsh_dedup, lsh_jaccard_pairs, lsh_levenshtein_pairs, lsh_levenshtein_distance_pairs, lsh_tapered_pairs, lsh_tapered_distance_pairs, lsh_query_top_n, lsh_query_levenshtein, lsh_top_sims, lsh_reduction_stats, minhash_hex_slow, jaccard_order_parts, common_tokens_ordered, array_set_ops, string_filter, node_labels, syslog_labels, syslog_tokens, token_counter_map, components, hcluster_edges, hcluster_exemplars, graph_counts, regex_morph, all_signatures, all_bands, all_dedup, all_hex_slow, all_node_labels, all_token_counts)}
 
 _T = "t as (select distinct line_id id, features tokens from syslog where len(features) >= 10)"
 _U = _T + ", u as (select min(id) id, tokens from t group by tokens)"
