@@ -64,7 +64,7 @@ class _Forest:
         node = str(i)
         if node not in self.tokens:
             self.tokens[node] = self.names.get(i) or []
-            self.labels[node] = ":".join(self.tokens[node])
+            self.labels[node] = ":".join(t for t in self.tokens[node] if t is not None)
         return node
 
     def join(self, sim: float, a: str, b: str) -> None:
@@ -74,7 +74,7 @@ class _Forest:
         self.up[ra] = self.up[rb] = meta
         shared = set(self.tokens[rb])
         self.tokens[meta] = [t for t in self.tokens[ra] if t in shared]
-        self.labels[meta] = ":".join(self.tokens[meta]) or "---"
+        self.labels[meta] = ":".join(t for t in self.tokens[meta] if t is not None) or "---"
 
     def attach(self, sim: float, new: str, old: str) -> None:
         """Hang a new leaf below the other's root if their levels are close, else join them."""

@@ -9,8 +9,11 @@ where duplicates are dropped; ``memberships`` names the representative of every
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +114,61 @@ def query(index: DataFrame, records: DataFrame, queries: DataFrame, p: MinHash,
     return found.select("qid", "id", fn(F.col("ta"), F.col("tb")).alias("sim")).where(F.col("sim") > threshold)
 
 
+def _items(tokens: Column) -> Column:
+    """Tokens with their null as a value of its own, as the metrics count it."""
+    return F.transform(tokens, lambda t: F.coalesce(F.concat(F.lit("="), t), F.lit("0")))
+
+
+def _counted(tokens: Column) -> Column:
+    """Distinct items: the k-th repeat of a token is one of its own."""
+    items = _items(tokens)
+    return F.transform(items, lambda t, i: F.concat(F.size(F.filter(F.slice(items, 1, i), lambda u: u == t)).cast("string"), t))
+
+
+def exact_pairs(df: DataFrame, threshold: float, repeats: bool = False) -> DataFrame:
+    """All ``src`` < ``dst`` whose shared tokens exceed ``threshold`` x tokens of the larger list (sets, or with repeats), by prefix join.
+
+    Tokens go from rare to frequent; two such lists share one of the first m - floor(threshold * m).
+    """
+    sets = df.where("id is not null and tokens is not null").select("id", (_counted(F.col("tokens")) if repeats else F.array_distinct(_items(F.col("tokens")))).alias("ws"))
+    each = sets.select("id", F.explode("ws").alias("w"))
+    rare = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    m = F.size("ws")
+    prefix = rare.select("id", m.alias("m"), F.posexplode(F.slice("ws", 1, m - F.floor(m * threshold).cast("int"))).alias("at", "s")).select("id", "m", "at", F.xxhash64("s.w").alias("w"))
+    a, b = prefix.toDF("src", "ma", "pa", "w"), prefix.toDF("dst", "mb", "pb", "w")
+    larger = F.greatest("ma", "mb")
+    left = F.least(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb")) + F.least("pa", "pb")  # tokens that can be shared yet
+    return a.join(b, "w").where((F.col("src") < F.col("dst")) & (F.least("ma", "mb") > threshold * larger) & (left > threshold * larger)).select("src", "dst").distinct()
+
+
+def exact_query(records: DataFrame, queries: DataFrame, threshold: float, n: int | None = None, repeats: bool = False, block: tuple[int, int] = (2048, 8192)) -> DataFrame:
+    """``qid``, ``id``, ``sim`` of all records that share more than ``threshold`` of the larger list with a query (only the n best of a query, if given).
+
+    Queries and records meet in a grid of blocks; each looks its records' tokens up in the lists of its queries.
+    """
+    tokens = (_counted if repeats else lambda c: F.array_distinct(_items(c)))(F.col("tokens")).alias("ws")
+    nq, nr = (-(-df.count() // size) or 1 for df, size in zip((queries, records), block))
+    grid = lambda df, own, other, k, ko: df.select("id", tokens, F.pmod(F.xxhash64("id"), F.lit(k)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ko - 1).cast("bigint"))).alias(other))
+
+    def look(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        qids, lists, posted = q["id"].to_numpy(), list(q["ws"]), defaultdict(list)
+        for i, ws in enumerate(lists):
+            for w in ws:
+                posted[w].append(i)
+        sizes, posted = np.array([len(ws) for ws in lists]), {w: np.array(v) for w, v in posted.items()}
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for rid, ws in zip(r["id"], r["ws"]):
+            if hits := [posted[w] for w in ws if w in posted]:
+                sim = np.bincount(np.concatenate(hits), minlength=len(sizes)) / np.maximum(sizes, len(ws))
+                at = np.flatnonzero(sim > threshold)
+                out.append((qids[at], np.full(len(at), rid), sim[at]))
+        found = pd.DataFrame(dict(zip(("qid", "id", "sim"), map(np.concatenate, zip(*out)))))
+        return found if n is None else found.sort_values(["sim", "id"], ascending=False).groupby("qid").head(n)
+
+    q, r = grid(queries, "q", "r", nq, nr), grid(records, "r", "q", nr, nq)
+    return q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInPandas(lambda a, b: look(a, b), "qid bigint, id bigint, sim double")
+
+
 def top_n(found: DataFrame, n: int = 5) -> DataFrame:
     """The n most alike of each query, by similarity and id, both falling."""
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.functions.similarity import common_ordered, jaccard
+from siftline.functions.similarity import common_ordered, jaccard, levenshtein_sim
 from siftline.functions.text import const_strings, make_label
 from siftline.operators import graph, lsh, morph
 from siftline.runtime import cut, table
@@ -202,7 +202,76 @@ def all_token_counts(spark, d):
     return toks.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "n"))), lambda x: F.concat_ws("=", x["t"], x["n"].cast("string"))), " ").alias("counts"))
 
 
-QUERIES = {f.__name__: f for f in (lsh_signatures, lsh_bands, lsh_candidate_pairs, lsh_bin_limit, lsh_overflow, lsh_dedup, lsh_jaccard_pairs, lsh_levenshtein_pairs, lsh_levenshtein_distance_pairs, lsh_tapered_pairs, lsh_tapered_distance_pairs, lsh_query_top_n, lsh_query_levenshtein, lsh_top_sims, lsh_reduction_stats, minhash_hex_slow, jaccard_order_parts, common_tokens_ordered, array_set_ops, string_filter, node_labels, syslog_labels, syslog_tokens, token_counter_map, components, hcluster_edges, hcluster_exemplars, graph_counts, regex_morph, all_signatures, all_bands, all_dedup, all_hex_slow, all_node_labels, all_token_counts)}
+def _all_similar(spark, d, metric, repeats=False):
+    one = cut(lsh.deduplicate(whole(spark, d)))
+    return one, lsh.similarities(one, lsh.exact_pairs(one, 0.5, repeats), metric, 0.5)
+
+
+def all_candidate_pairs(spark, d):
+    return lsh.exact_pairs(cut(lsh.deduplicate(whole(spark, d))), 0.5)
+
+
+def all_reduction_stats(spark, d):
+    one = cut(lsh.deduplicate(whole(spark, d)))
+    return lsh.reduction(one, lsh.exact_pairs(one, 0.5))
+
+
+def all_jaccard_pairs(spark, d):
+    return _all_similar(spark, d, "jaccard")[1].select(F.round("sim", 6).alias("sim"), "src", "dst")
+
+
+def all_levenshtein_pairs(spark, d):
+    """An edit similarity above 0.5 needs more than half of the tokens, repeats counted, in both lists."""
+    return _all_similar(spark, d, "levenshtein", repeats=True)[1].select(F.round("sim", 6).alias("sim"), "src", "dst")
+
+
+def _all_found(spark, d):
+    one = cut(lsh.deduplicate(whole(spark, d)))
+    queries = one.where("id % 100 = 0")
+    return queries, cut(lsh.exact_query(one, queries, 0.1, n=5))
+
+
+def all_query_top_n(spark, d):
+    return lsh.top_n(_all_found(spark, d)[1]).select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
+
+
+def all_top_sims(spark, d):
+    return lsh.averaged_top(*_all_found(spark, d)).select("qid", F.round("score", 6).alias("score"))
+
+
+def all_query_levenshtein(spark, d):
+    one = cut(lsh.deduplicate(whole(spark, d)))
+    queries = one.where("id % 100 = 0")
+    found = cut(lsh.exact_query(one, queries, 0.1, repeats=True)).select("qid", "id")
+    found = found.join(one.withColumnRenamed("tokens", "tb"), "id").join(queries.select(F.col("id").alias("qid"), F.col("tokens").alias("ta")), "qid")
+    return found.select("qid", "id", levenshtein_sim(F.col("ta"), F.col("tb")).alias("sim")).where("sim > 0.1")
+
+
+def _all_links(spark, d):
+    one, sims = _all_similar(spark, d, "jaccard")
+    return one, cut(sims)
+
+
+def all_components(spark, d):
+    return graph.components(_all_links(spark, d)[1])
+
+
+def all_hcluster_edges(spark, d):
+    one, sims = _all_links(spark, d)
+    return graph.trees(sims, one, 0.3)
+
+
+def all_hcluster_exemplars(spark, d):
+    one, sims = _all_links(spark, d)
+    return graph.exemplars(graph.trees(sims, one, 0.3))
+
+
+def all_graph_counts(spark, d):
+    one, sims = _all_links(spark, d)
+    return graph.graph_info(one, sims)
+
+
+QUERIES = {f.__name__: f for f in (lsh_signatures, lsh_bands, lsh_candidate_pairs, lsh_bin_limit, lsh_overflow, lsh_dedup, lsh_jaccard_pairs, lsh_levenshtein_pairs, lsh_levenshtein_distance_pairs, lsh_tapered_pairs, lsh_tapered_distance_pairs, lsh_query_top_n, lsh_query_levenshtein, lsh_top_sims, lsh_reduction_stats, minhash_hex_slow, jaccard_order_parts, common_tokens_ordered, array_set_ops, string_filter, node_labels, syslog_labels, syslog_tokens, token_counter_map, components, hcluster_edges, hcluster_exemplars, graph_counts, regex_morph, all_signatures, all_bands, all_dedup, all_hex_slow, all_node_labels, all_token_counts, all_candidate_pairs, all_reduction_stats, all_jaccard_pairs, all_levenshtein_pairs, all_query_top_n, all_top_sims, all_query_levenshtein, all_components, all_hcluster_edges, all_hcluster_exemplars, all_graph_counts)}
 
 _T = "t as (select distinct line_id id, features tokens from syslog where len(features) >= 10)"
 _U = _T + ", u as (select min(id) id, tokens from t group by tokens)"

@@ -1,9 +1,11 @@
 """Search over all lists of the log table against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 
+from siftline.operators import lsh
 from siftline.plans import search_queries
 
 WORDS = [None, "a", "b", "c", "d", "e", "f", "g", "h"]
@@ -23,8 +25,42 @@ def folder(spark, lists, tmp_path_factory):
     return str(path)
 
 
+def jaccard(a, b):
+    larger = max(len(set(a)), len(set(b)))
+    return len(set(a) & set(b)) / larger if larger else 0
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        new = [row[0] + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[-1] + 1, row[j] + (x is None or y is None or x != y)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 0
+
+
+def test_exact_pairs(spark, lists, folder):
+    want = {(a, b) for a, x in lists.items() for b, y in lists.items() if a < b and jaccard(x, y) > 0.5}
+    got = [(r["src"], r["dst"]) for r in search_queries.all_jaccard_pairs(spark, folder).collect()]
+    assert len(got) == len(want) and set(got) == want and len(want) > 100
+    want = {(a, b) for a, x in lists.items() for b, y in lists.items() if a < b and levenshtein(x, y) > 0.5}
+    assert {(r["src"], r["dst"]) for r in search_queries.all_levenshtein_pairs(spark, folder).collect()} == want
+    assert lsh.exact_pairs(spark.createDataFrame([], "id bigint, tokens array<string>"), 0.5).count() == 0
+
+
+def test_exact_queries(spark, lists, folder):
+    df = spark.createDataFrame([(i, list(t)) for i, t in lists.items()], "id bigint, tokens array<string>")
+    got = {(r["qid"], r["id"]): r["sim"] for r in lsh.exact_query(df, df.where("id % 100 = 0"), 0.1, block=(3, 20)).collect()}
+    want = {(q, i): jaccard(x, y) for q, x in lists.items() if q % 100 == 0 for i, y in lists.items() if jaccard(x, y) > 0.1}
+    assert got == want
+    best = Counter(r["qid"] for r in search_queries.all_query_top_n(spark, folder).collect())
+    assert best == Counter({q: min(5, sum(1 for k in want if k[0] == q)) for q in {k[0] for k in want}})
+
+
 def test_short_lists_take_part(spark, lists, folder):
     named = {r["id"] for r in search_queries.all_signatures(spark, folder).collect()}
     assert named == {i for i, t in lists.items() if set(t) - {None}} | ({5000} if set(lists[100]) - {None} else set())
     assert {r["id"] for r in search_queries.all_node_labels(spark, folder).collect()} == set(lists) | {5000}
     assert {r["id"]: r["rep_id"] for r in search_queries.all_dedup(spark, folder).collect()}[5000] == 100
+    assert search_queries.all_components(spark, folder).count() and search_queries.all_hcluster_edges(spark, folder).count()
