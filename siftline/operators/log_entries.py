@@ -273,6 +273,11 @@ def _level(word):
 
 def entries(lines: DataFrame) -> DataFrame:
     """``first_line_id``, ``last_line_id``, ``component``, ``log_level``: one row an entry."""
+    return _found(lines).select("first_line_id", "last_line_id", "component", "log_level")
+
+
+def _found(lines: DataFrame) -> DataFrame:
+    """The entries with ``log_file``, ``start``, ``last`` (line number and id) and ``slot`` (places of name and level in the header)."""
     shaped = cut(shapes(lines.where("line_id is not null")))
     known = templates(shaped).where("name_at is not null").select("shape", "name_at", "level_at")
     known = small(cut(known))
@@ -286,10 +291,11 @@ def entries(lines: DataFrame) -> DataFrame:
     by_first = F.when(severity != "", F.get(F.array(*[F.lit(v) for v in _SEVERITY]), F.pmod(severity.cast("int"), F.lit(8)))).otherwise(_level(F.substring("head", 1, 1)))
     level = F.when(F.col("level_at") == -1, by_first).when(F.col("level_at") >= 0, F.coalesce(_level(stated), F.lit(""))).otherwise("")
     start = F.when(F.col("name_at").isNotNull() | F.col("shape").isin("{", "{}"), F.struct("line_no", "line_id"))
+    slot = F.when(F.col("name_at").isNotNull(), F.struct("name_at", "level_at"))
     x = x.select(
         "line_id", "log_file", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), start.alias("start"),
         F.when(F.col("name_at").isNotNull(), name).otherwise(F.col("jname")).alias("name"),
-        F.when(F.col("name_at").isNotNull(), level).otherwise(F.col("jlevel")).alias("level"), (F.col("shape") == "{").alias("opens"), "jtime",
+        F.when(F.col("name_at").isNotNull(), level).otherwise(F.col("jlevel")).alias("level"), (F.col("shape") == "{").alias("opens"), "jtime", slot.alias("slot"),
     )
     upto = Window.partitionBy("log_file", "chunk").orderBy("line_no", "line_id").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("start", F.last("start", ignorenulls=True).over(upto))
@@ -298,7 +304,7 @@ def entries(lines: DataFrame) -> DataFrame:
     part = x.groupBy("log_file", "chunk", "start").agg(
         F.max(F.struct("line_no", "line_id")).alias("last"), first_named("name").alias("name"), F.min(F.when(F.col("name").isNotNull(), F.col("line_no"))).alias("name_no"),
         first_named("level").alias("level"), F.min(F.when(F.col("level").isNotNull(), F.col("line_no"))).alias("level_no"),
-        F.bool_or(at_start & F.col("opens")).alias("opens"), F.bool_or("jtime").alias("timed"),
+        F.bool_or(at_start & F.col("opens")).alias("opens"), F.bool_or("jtime").alias("timed"), F.max("slot").alias("slot"),
     )
     # a chunk's lines before its first record belong to the last record of an earlier chunk
     chunks = part.groupBy("log_file", "chunk").agg(F.max("start").alias("open"))
@@ -307,7 +313,7 @@ def entries(lines: DataFrame) -> DataFrame:
     heads = part.where("start is null").drop("start").join(chunks, ["log_file", "chunk"]).withColumnRenamed("carried", "start")
     whole = part.where("start is not null").unionByName(heads.where("start is not null"))
     whole = whole.groupBy("log_file", "start").agg(
-        F.max("last").alias("last"), F.min_by("name", "name_no").alias("name"), F.min_by("level", "level_no").alias("level"), F.bool_or("opens").alias("opens"), F.bool_or("timed").alias("timed"),
+        F.max("last").alias("last"), F.min_by("name", "name_no").alias("name"), F.min_by("level", "level_no").alias("level"), F.bool_or("opens").alias("opens"), F.bool_or("timed").alias("timed"), F.max("slot").alias("slot"),
     )
     # an object over several lines that names no time or no component starts no record: its lines belong to the entry before
     whole = whole.withColumn("valid", ~F.coalesce("opens", F.lit(False)) | (F.col("name").isNotNull() & F.coalesce("timed", F.lit(False))))
@@ -316,5 +322,89 @@ def entries(lines: DataFrame) -> DataFrame:
         order = Window.partitionBy("log_file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
         whole = whole.withColumn("start", F.last(F.when(F.col("valid"), F.col("start")), ignorenulls=True).over(order)).where("start is not null")
         pick = lambda c: F.max(F.when(F.col("valid"), F.col(c))).alias(c)
-        whole = whole.groupBy("log_file", "start").agg(F.max("last").alias("last"), pick("name"), pick("level"))
-    return whole.select(F.col("start.line_id").alias("first_line_id"), F.col("last.line_id").alias("last_line_id"), F.col("name").alias("component"), F.coalesce("level", F.lit("")).alias("log_level"))
+        whole = whole.groupBy("log_file", "start").agg(F.max("last").alias("last"), pick("name"), pick("level"), pick("slot"))
+    return whole.select(F.col("start.line_id").alias("first_line_id"), F.col("last.line_id").alias("last_line_id"), F.col("name").alias("component"), F.coalesce("level", F.lit("")).alias("log_level"), "log_file", "start", "last", "slot")
+
+
+_TOKEN, _JSON_MESSAGE = re.compile(r"\S+"), ("msg", "message", "text", "event")
+
+
+def _member(low: dict, keys) -> str | None:
+    value = next((low[k] for k in keys if low.get(k) not in (None, "")), None)
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def read_entry(lines: list[str | None], name_at: int | None, level_at: int | None) -> tuple[str | None, str]:
+    """Time text and message of an entry: what the header leaves of the first line, and the lines that follow."""
+    lines = [v or "" for v in lines]
+    if name_at is None:  # an object on one line or several, maybe with lines behind it
+        text = "\n".join(lines)
+        try:
+            got, end = json.JSONDecoder().raw_decode(text)
+        except ValueError:
+            got, end = {}, 0
+            for line in lines:
+                if m := _MEMBER.match(line):
+                    got.setdefault(m[1], m[2])
+        low = {str(k).lower(): v for k, v in got.items()}
+        message, more = _member(low, _JSON_MESSAGE), text[end:].strip("\r\n") if end else ""
+        if message is None:  # none of its keys is a message: the whole text is
+            return _member(low, sorted(_TIME_KEYS)), text
+        return _member(low, sorted(_TIME_KEYS)), f"{message}\n{more}" if more else message
+    first, spans = lines[0], [m.span() for m in _TOKEN.finditer(lines[0])]
+    tokens = [first[a:b] for a, b in spans]
+    kinds = [classify(t) for t in tokens[:HEAD]]
+    end = name_at
+    if level_at is not None and level_at >= 0 and level_at < len(tokens):
+        word = tokens[level_at]
+        stated = level_at < name_at or tokens[level_at - 1] == "-" or re.fullmatch(r'\w+="?\w+"?|\[\w+\]|<\w+>|\w+:', word)
+        if stated and (level_at < name_at or level_of(re.sub(r'[\[\]<>:"]', "", re.sub(r"^\w+=", "", word)))):
+            end = max(end, level_at)
+    end = spans[end][1]
+    if kinds[0] == "PRI":
+        time = tokens[1]
+        if m := re.compile(r"\s+\S+\s+\S+\s+(?:-|(?:\[(?:[^\]\\]|\\.)*\])+)(?=\s|$)").match(first, end):  # process, message id, structured data
+            end = m.end()
+    elif kinds[0] == "LETTER_DATE":
+        time = first[spans[0][0] + 1 : spans[1][1]]
+    else:
+        stop = 0
+        for i, k in enumerate(kinds[: min(name_at, HEAD)]):
+            if k.startswith("T_") or k == "KEY_TIME" or (k == "N" and i and (kinds[i - 1] == "T_MONTH" or ("T_MONTH" in kinds[:i] and len(tokens[i]) == 4))):
+                stop = i + 1
+            elif k != "CAPS":
+                break
+        time = first[spans[0][0] : spans[max(stop, 1) - 1][1]]
+    time = re.sub(r'^\w+=', "", time).strip('"').removeprefix("[").removesuffix(":").removesuffix("]")
+    rest = re.sub(r"^\s*(?:- )?\s*", "", first[end:]).removeprefix("- ")
+    if m := re.fullmatch(r'(?:msg|message)="((?:[^"\\]|\\.)*)"\s*', rest):
+        rest = m[1]
+    return time, "\n".join([rest, *lines[1:]])
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """The entries with ``time_text`` and ``message`` (lines that follow are joined by line breaks, in their order)."""
+    found = cut(_found(lines))
+    one = lines.where("line_id is not null").select(F.col("line_id").cast("bigint").alias("line_id"), F.coalesce("log_file", F.lit("")).alias("log_file"), F.col("line_no").cast("bigint").alias("line_no"), "value")
+    chunk = F.floor(F.col("line_no") / CHUNK)
+    # each chunk that an entry reaches into gets a mark from which its lines take the entry
+    span = F.explode(F.sequence(F.floor(F.col("start.line_no") / CHUNK), F.floor(F.col("last.line_no") / CHUNK)))
+    marks = found.select("log_file", span.alias("chunk"), F.col("start").alias("entry"))
+    at = F.when(F.floor(F.col("entry.line_no") / CHUNK) == F.col("chunk"), F.col("entry.line_no")).otherwise(F.col("chunk") * CHUNK - 1)
+    marks = marks.select("log_file", "chunk", at.alias("line_no"), F.col("entry.line_id").alias("line_id"), F.lit(0).alias("kind"), "entry", F.lit(None).cast("string").alias("value"))
+    every = marks.unionByName(one.select("log_file", chunk.alias("chunk"), "line_no", "line_id", F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["entry"].dataType).alias("entry"), "value"))
+    upto = Window.partitionBy("log_file", "chunk").orderBy("line_no", "line_id", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    owned = every.withColumn("entry", F.last("entry", ignorenulls=True).over(upto)).where("kind = 1 and entry is not null")
+    text = owned.groupBy("log_file", F.col("entry.line_id").alias("first_line_id")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "value"))).alias("lines"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name_at, level_at, rows in zip(*(b.column(i).to_pylist() for i in (4, 5, 6))):
+                once = {r["line_id"]: r["value"] for r in reversed(rows)}  # a repeated id counts once
+                out.append(read_entry(list(reversed(once.values())), name_at, level_at))
+            times, messages = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(times, pa.string()), pa.array(messages, pa.string())], ["first_line_id", "last_line_id", "component", "log_level", "time_text", "message"])
+
+    whole = found.join(text, ["log_file", "first_line_id"]).select("first_line_id", "last_line_id", "component", "log_level", "slot.name_at", "slot.level_at", "lines")
+    return whole.mapInArrow(run, "first_line_id bigint, last_line_id bigint, component string, log_level string, time_text string, message string")

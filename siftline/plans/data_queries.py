@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftline.operators.bad_rows import bad_records, loaded
-from siftline.operators.log_entries import entries, shapes, templates
+from siftline.operators.log_entries import entries, records, shapes, templates
 from siftline.operators.timestamps import instants
 from siftline.runtime import table
 
@@ -12,6 +12,10 @@ def p3_found(spark, d):
     return entries(table(spark, d, "syslog"))
 
 
+def p3_entries(spark, d):
+    return records(table(spark, d, "syslog"))
+
+
 def p3_templates(spark, d):
     t = templates(shapes(table(spark, d, "syslog")))
     return t.groupBy("template").agg({"support": "max"}).withColumnRenamed("max(support)", "support")
@@ -29,5 +33,5 @@ def p7_loaded(spark, d):
     return loaded(table(spark, d, "mdl_raw"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_templates, p6_found, p7_found, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_entries, p3_templates, p6_found, p7_found, p7_loaded)}
 ORACLES: dict[str, str] = {}

@@ -129,3 +129,30 @@ def test_log_layouts_come_from_leaves(spark, monkeypatch):
     assert found(log_entries.entries(df.where("line_id in (0, 20, 21)"))) == [(20, 21, "a", "")]  # too few lines have that header
     monkeypatch.setattr(log_entries, "partition", lambda rows, depth=0: [rows])
     assert (0, 0, "com.x.StoreA", "ERROR") not in found(log_entries.entries(df))
+
+
+def test_log_records_have_time_and_message(spark, monkeypatch):
+    monkeypatch.setattr(log_entries, "CHUNK", 3)
+    rows = [
+        (1, "f", 1, "orphan line", ""), (2, "f", 2, "Jan 10 06:28:26 vpn-05 ntpsync[22079]: error count  now 3", ""), (3, "f", 3, "\tat a.b.C(D.java:1)", ""), (4, "f", 4, None, ""), (5, "f", 7, "\tat e", ""), (5, "f", 7, "\tat e", ""),
+        (6, "f", 8, "{", ""), (7, "f", 9, '  "time": 1672622270515,', ""), (8, "f", 10, '  "level": "warn",', ""), (9, "f", 11, '  "logger": "box",', ""), (10, "f", 12, '  "msg": "full, {so}"', ""), (11, "f", 13, "}", ""),
+        (12, "f", 14, "Jan  2 00:52:29 h kernel: <crit> boom", ""),
+        (13, "g", 1, "<85>1 2023-01-01T14:46:35.359Z vpn-05 scheduler 33489 - - time stepped", ""),
+        (14, "g", 2, "2023-01-02 03:51:01,718 - feeds.mdl - INFO - started", ""),
+        (15, "g", 3, "I0101 03:54:24.880758 2902 disk_queue.cc:442] error", ""),
+        (16, "g", 4, "2023-01-02 01:00:33,661 PANIC  [pool-2] com.x.Store - warning", ""),
+        (17, "g", 5, 'ts=1672541969.531 lvl=trace comp=gateway msg="no route"', ""),
+        (18, "g", 6, "Sun Jan 01 03:30:02 CET 2023 NOTICE billing: job", ""),
+        (19, "g", 7, "[2023/01/03 13:12:39 +0900] [err] [cachebox] x", ""),
+        (20, "g", 8, '{"time":1,"level":"DEBUG","logger":"httpx","msg":"x"}', ""), (21, "g", 9, "    2023-01-03 13:00:00 snapshot 37", ""),
+    ]
+    df = spark.createDataFrame(rows, LOG)
+    want = {
+        2: ("Jan 10 06:28:26", "error count  now 3\n\tat a.b.C(D.java:1)\n\n\tat e"), 6: ("1672622270515", "full, {so}"), 12: ("Jan  2 00:52:29", "boom"), 13: ("2023-01-01T14:46:35.359Z", "time stepped"),
+        14: ("2023-01-02 03:51:01,718", "started"), 15: ("0101 03:54:24.880758", "error"), 16: ("2023-01-02 01:00:33,661", "warning"), 17: ("1672541969.531", "no route"), 18: ("Sun Jan 01 03:30:02 CET 2023", "job"),
+        19: ("2023/01/03 13:12:39 +0900", "x"), 20: ("1", "x\n    2023-01-03 13:00:00 snapshot 37"),
+    }
+    got = log_entries.records(df).collect()
+    assert {r["first_line_id"]: (r["time_text"], r["message"]) for r in got} == want
+    assert sorted(tuple(r)[:4] for r in got) == found(log_entries.entries(df))
+    assert log_entries.records(df.limit(0)).count() == 0
