@@ -3,7 +3,8 @@
 The first sequence is taken literally; a later one that doesn't match changes the pattern where
 the two differ: tokens only in the new sequence come in as optional, tokens it lacks become
 optional. Tokens are taken as literal text. Sequences are read in their given order, one key at a
-time; a key's sequences are repeated patterns of few kinds, of which each distinct one is read once.
+time, each distinct one once. Whether a sequence fits is found by the set of places reached in its
+text after each token of the pattern, so that many optional tokens cost no backtracking.
 """
 
 from __future__ import annotations
@@ -19,16 +20,24 @@ from pyspark.sql import functions as F
 class Morpher:
     def __init__(self):
         self.items: list[tuple[str, bool]] = []  # token, optional
+        self.begun = False
 
     def pattern(self) -> str:
         return "^" + "".join(f"({re.escape(t)})?" if optional else re.escape(t) for t, optional in self.items) + "$"
 
     def matches(self, tokens: list[str]) -> bool:
-        return re.match(self.pattern(), "".join(tokens)) is not None
+        text = "".join(tokens)
+        places = {0}
+        for t, optional in self.items:
+            reached = {p + len(t) for p in places if text.startswith(t, p)}
+            places = places | reached if optional else reached
+            if not places:
+                return False
+        return len(text) in places or (text.endswith("\n") and len(text) - 1 in places)  # as $ does
 
     def add(self, tokens: list[str]) -> None:
-        if not self.items:
-            self.items = [(t, False) for t in tokens]
+        if not self.begun:
+            self.begun, self.items = True, [(t, False) for t in tokens]
             return
         if self.matches(tokens):
             return

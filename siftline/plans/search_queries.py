@@ -168,7 +168,7 @@ def graph_counts(spark, d):
 
 
 def regex_morph(spark, d):
-    x = table(spark, d, "pe_features").where("section_names is not null").select("origin", "sample_id", F.filter("section_names", lambda x: x.isNotNull() & x.rlike(r"^\.(text|data|rdata|rsrc|reloc|idata|edata|tls|bss)$")).alias("tokens"))
+    x = table(spark, d, "pe_features").where("section_names is not null").select("origin", "sample_id", F.filter("section_names", lambda x: x.isNotNull()).alias("tokens"))
     return morph.learn(x, "origin", "sample_id")
 
 
