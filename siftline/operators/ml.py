@@ -105,27 +105,60 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
     return out.select("id", F.coalesce("cluster", "reach", F.lit(-1)).alias("cluster"), F.col("cluster").isNotNull().alias("is_core"))
 
 
-def mean_shift(df: DataFrame, columns: list[str], bandwidth: float | None = None, quantile: float = 0.3, bound: int = 2000, rounds: int = 50) -> DataFrame:
-    """``id, cluster``: flat-kernel mean shift. Modes are sought on a sample of ``bound`` rows (documented bound, by hash order); all rows go to their nearest mode."""
-    x = _clean(df, columns)
-    points = np.array([r[1:] for r in x.orderBy(F.xxhash64("id"), "id").limit(bound).collect()], dtype=float).reshape(-1, len(columns))
-    if not len(points):
+def _cells(x: DataFrame, columns: list[str], width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of the rows in each occupied cell of a grid."""
+    grid = x.groupBy(*[F.floor(F.col(c) / width).alias(f"g{i}") for i, c in enumerate(columns)])
+    got = np.array([list(r) for r in grid.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], F.count("*").alias("n")).select(*[f"m{i}" for i in range(len(columns))], "n").toLocalIterator()], dtype=float)
+    got = got.reshape(-1, len(columns) + 1)
+    got = got[np.lexsort(got.T[::-1])]
+    return got[:, :-1], got[:, -1]
+
+
+def _blocks(points: np.ndarray, others: np.ndarray):
+    """Squared distances, for some of the points at a time."""
+    step = max(1, 4_000_000 // max(1, len(others)))
+    for at in range(0, len(points), step):
+        p = points[at : at + step]
+        yield at, sum((p[:, None, i] - others[None, :, i]) ** 2 for i in range(points.shape[1]))
+
+
+def mean_shift(df: DataFrame, columns: list[str], bandwidth: float | None = None, quantile: float = 0.3) -> DataFrame:
+    """``id, cluster``: flat-kernel mean shift of all rows, until no mode moves.
+
+    Rows enter by the means and counts of grid cells, whose diagonal is at most a tenth of the
+    bandwidth; every occupied cell seeks its mode, and each row goes to the nearest. The bandwidth
+    is the mean distance within which a row has ``quantile`` of the rows.
+    """
+    x = cut(_clean(df, columns))
+    ends = x.agg(*[F.max(c) - F.min(c) for c in columns]).first()
+    if ends[0] is None:
         return x.select("id", F.lit(0).alias("cluster"))
+    spread = max(ends) or 1.0
+    points, counts = _cells(x, columns, spread / 128 if bandwidth is None else bandwidth / 10 / math.sqrt(len(columns)))
     if bandwidth is None:
-        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-        bandwidth = float(np.sort(d, axis=1)[:, : max(1, int(len(points) * quantile))].max(axis=1).mean()) or 1.0
-    modes = points.copy()
-    for _ in range(rounds):
-        within = ((modes[:, None] - points[None]) ** 2).sum(-1) <= bandwidth**2
-        moved = (within @ points) / np.maximum(within.sum(1, keepdims=True), 1)
-        if np.abs(moved - modes).max() < 1e-3 * bandwidth:
-            break
-        modes = moved
-    weight = (((modes[:, None] - points[None]) ** 2).sum(-1) <= bandwidth**2).sum(1)
+        near, least = np.zeros(len(points)), max(1, int(counts.sum() * quantile))
+        for at, d in _blocks(points, points):
+            order = np.argsort(d, axis=1)
+            reached = np.argmax(np.cumsum(counts[order], axis=1) >= least, axis=1)
+            near[at : at + len(d)] = np.sqrt(np.take_along_axis(d, order, axis=1)[np.arange(len(d)), reached])
+        bandwidth = float((near * counts).sum() / counts.sum()) or 1.0
+        if (width := bandwidth / 10 / math.sqrt(len(columns))) < spread / 128:  # cells too coarse for what they showed
+            points, counts = _cells(x, columns, width)
+    weighted, moving, modes = points * counts[:, None], points.copy(), []
+    while len(moving):
+        moved = np.empty_like(moving)
+        for at, d in _blocks(moving, points):
+            within = (d <= bandwidth**2).astype(float)
+            moved[at : at + len(d)] = (within @ weighted) / np.maximum(within @ counts, 1)[:, None]
+        still = np.abs(moved - moving).max(axis=1) < 1e-3 * bandwidth
+        modes.append(moved[still])
+        moving = np.unique(moved[~still], axis=0)  # seeds that met go on as one
+    found = np.unique(np.concatenate(modes), axis=0)
+    weight = np.concatenate([(d <= bandwidth**2) @ counts for _, d in _blocks(found, points)])
     kept: list[np.ndarray] = []
     for i in np.argsort(-weight, kind="stable"):
-        if all(((modes[i] - m) ** 2).sum() > bandwidth**2 for m in kept):
-            kept.append(modes[i])
+        if all(((found[i] - m) ** 2).sum() > bandwidth**2 for m in kept):
+            kept.append(found[i])
     return assign(x, columns, [m.tolist() for m in kept]).select("id", "cluster")
 
 
