@@ -169,16 +169,21 @@ def parsed(raw: DataFrame, id_col: str = "raw_id", value_col: str = "value", kee
     return one.mapInArrow(run, schema)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With ``_row``, which tells rows without an id apart."""
+    return rows.withColumn("_row", F.when(F.col("raw_id").isNull(), F.monotonically_increasing_id()))
+
+
 def bad_records(raw: DataFrame) -> DataFrame:
     """``raw_id``, ``reason`` of the bad records."""
     bad = parsed(raw.select("raw_id", "value")).where("reason is not null").select("raw_id", "reason")
     order = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason"))
-    return bad.groupBy("raw_id").agg(F.min_by("reason", order).alias("reason"))
+    return _keyed(bad).groupBy("raw_id", "_row").agg(F.min_by("reason", order).alias("reason")).drop("_row")
 
 
 def loaded(raw: DataFrame) -> DataFrame:
     """The valid records as rows of the feed's table; ``-`` stays as delivered, numbers are cast if they are numbers."""
     rows = parsed(raw, keep=("feed_id", "received_at")).where("reason is null")
-    rows = rows.groupBy("raw_id").agg(F.min(F.struct("feed_id", "received_at", *[f"f_{f}" for f in FIELDS])).alias("s")).select("raw_id", "s.*")
+    rows = _keyed(rows).groupBy("raw_id", "_row").agg(F.min(F.struct("feed_id", "received_at", *[f"f_{f}" for f in FIELDS])).alias("s")).select("raw_id", "s.*")
     texts = [F.col(f"f_{f}").alias(f) for f in FIELDS[:7]]
     return rows.select(F.col("raw_id").alias("row_id"), "feed_id", "received_at", *texts, *[F.col(f"f_{f}").try_cast("int").alias(f) for f in FIELDS[7:]])

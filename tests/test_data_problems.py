@@ -156,3 +156,11 @@ def test_log_records_have_time_and_message(spark, monkeypatch):
     assert {r["first_line_id"]: (r["time_text"], r["message"]) for r in got} == want
     assert sorted(tuple(r)[:4] for r in got) == found(log_entries.entries(df))
     assert log_entries.records(df.limit(0)).count() == 0
+
+
+def test_records_without_an_id_are_kept(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(None, 1, at, GOOD), (None, 1, at, GOOD), (None, 1, at, GOOD.replace("Org", "Other")), (None, 1, at, None), (None, 1, at, "x"), (1, 1, at, GOOD), (1, 1, at, GOOD)]
+    raw = spark.createDataFrame(rows, "raw_id bigint, feed_id int, received_at timestamp, value string")
+    assert sorted((r["row_id"] or 0, r["registrant"]) for r in bad_rows.loaded(raw).collect()) == [(0, "Org"), (0, "Org"), (0, "Other"), (1, "Org")]
+    assert [tuple(r) for r in bad_rows.bad_records(raw).collect()] == [(None, "column_count")] * 2
