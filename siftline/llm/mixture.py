@@ -2,7 +2,8 @@
 
 ``fit`` standardises the features, reduces them to the principal axes and fits mixtures of several
 sizes by expectation-maximisation over all rows, with a ridge on every covariance; the size with
-the least Bayesian information criterion stays. ``clusters`` assigns each record to its likeliest
+the least Bayesian information criterion stays. ``chosen`` doubles the size until the criterion
+falls no more. ``clusters`` assigns each record to its likeliest
 component and describes each by size and members of highest density. ``neighbour_groups`` uses the
 mixture to divide the records for an exact rule: a record is compared inside its own component and
 inside each other one that could be the likeliest for a neighbour, by a bound on how far the log
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from siftline.llm.components import components
 from siftline.runtime import cut
 
-#: Sizes of mixture that are compared, EM rounds at most, ridge, rows that seed the means.
+#: Sizes of mixture that ``fit`` compares, its EM rounds at most, tolerance a row, ridge, rows that seed the means, variance kept.
 SIZES, ROUNDS, TOLERANCE, RIDGE, SEED_ROWS, KEPT_VARIANCE = (4, 8, 16), 20, 1e-3, 1e-3, 2048, 0.999
+#: Rounds by which EM has come to its tolerance, cells of a matrix of densities.
+LIMIT, CELLS = 2000, 4_000_000
 FEATURES = ("number_of_sections", "sec_entropy_text", "size_code", "number_of_import_symbols")
 MISSING = -99
 
@@ -99,43 +102,73 @@ def _with(base: Mixture, weights: np.ndarray, means: np.ndarray, covs: np.ndarra
     return Mixture(base.centre, base.axes, means, precs, offs)
 
 
+def _dense(m: Mixture, p: np.ndarray) -> np.ndarray:
+    """``log_density`` by one product of matrices, for many components."""
+    linear = np.einsum("kij,kj->ki", m.precisions, m.means)
+    square = (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
+    return m.offsets - 0.5 * np.einsum("ki,ki->k", linear, m.means) + p @ linear.T - 0.5 * square @ m.precisions.reshape(len(m.means), -1).T
+
+
 def fit(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), sizes: tuple[int, ...] = SIZES, seed: int = 7) -> Mixture | None:
     """Fit on all rows; every round is one pass that returns sums of fixed size. None if no rows."""
+    models = fits(x, names, sizes, seed, ROUNDS)
+    return min(models, key=lambda m: m.bic) if models else None
+
+
+def chosen(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), seed: int = 7) -> Mixture | None:
+    """The mixture of least criterion among 4, 8, 16, 32, 64 .. components, each fitted to the tolerance, until two doublings in turn bring no lesser one."""
+    seen, sizes = [], (4, 8, 16, 32)
+    while True:
+        models = fits(x, names, sizes, seed, LIMIT)
+        seen += models
+        if not seen:
+            return None
+        best = min(seen, key=lambda m: m.bic)
+        if len(models) < len(sizes) or len(seen[-1].means) < sizes[-1] or all(m is not best for m in seen[-2:]):  # the first: a component for every row
+            return best
+        sizes = (2 * sizes[-1],)
+
+
+def fits(x: DataFrame, names: tuple[str, ...], sizes: tuple[int, ...], seed: int, rounds: int) -> list[Mixture]:
+    """A mixture of each size, smallest first, after ``rounds`` at most."""
     names = list(names)
     d = len(names)
     sums = [F.count("*")] + [F.avg(n) for n in names] + [F.covar_pop(a, b) for a in names for b in names]
     n, *rest = x.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()
     if not n:
-        return None
+        return []
     centre, cov = np.array(rest[:d]), np.array(rest[d:]).reshape(d, d)
     std = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     values, vecs = np.linalg.eigh(cov / np.outer(std, std))
     order = np.argsort(-values)
     keep = int(np.searchsorted(np.cumsum(values[order]) / max(values.sum(), 1e-12), KEPT_VARIANCE) + 1)
     base = Mixture(centre, (vecs[:, order[:keep]] / std[:, None]), np.zeros((0, keep)), np.zeros((0, keep, keep)), np.zeros(0))
-    rows = x.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).select(*names).collect()
+    rows = x.orderBy(F.xxhash64("id"), "id").limit(max(SEED_ROWS, 8 * max(sizes))).select(*names).collect()
     seeds, rng, r = base.reduce(np.array(rows, dtype=float)), np.random.default_rng(seed), base.axes.shape[1]
     ks = sorted({min(k, len(rows)) for k in sizes})
     models = [_with(base, np.full(k, 1 / k), _seed_means(seeds, k, rng), np.tile(np.eye(r), (k, 1, 1))) for k in ks]
     width = 1 + r + r * r
     last = [-math.inf] * len(models)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
 
         def sums_of(batches, models=models):
             total = [np.zeros((len(m.means), width)) for m in models]
             like = np.zeros(len(models))
             for batch in batches:
-                p = models[0].reduce(_matrix(batch, names))
+                whole = models[0].reduce(_matrix(batch, names))
                 for i, m in enumerate(models):
-                    f = m.log_density(p)
-                    top = f.max(axis=1, keepdims=True)
-                    e = np.exp(f - top)
-                    s = e.sum(axis=1, keepdims=True)
-                    like[i] += float((np.log(s) + top).sum())
-                    resp = e / s
-                    total[i][:, 0] += resp.sum(axis=0)
-                    total[i][:, 1 : 1 + r] += resp.T @ p
-                    total[i][:, 1 + r :] += resp.T @ (p[:, :, None] * p[:, None, :]).reshape(len(p), r * r)
+                    step = max(1, CELLS // len(m.means))
+                    for at in range(0, len(whole), step):
+                        p = whole[at : at + step]
+                        f = m.log_density(p) if len(m.means) <= max(SIZES) else _dense(m, p)
+                        top = f.max(axis=1, keepdims=True)
+                        e = np.exp(f - top)
+                        s = e.sum(axis=1, keepdims=True)
+                        like[i] += float((np.log(s) + top).sum())
+                        resp = e / s
+                        total[i][:, 0] += resp.sum(axis=0)
+                        total[i][:, 1 : 1 + r] += resp.T @ p
+                        total[i][:, 1 + r :] += resp.T @ (p[:, :, None] * p[:, None, :]).reshape(len(p), r * r)
             flat = np.concatenate([like, *(t.ravel() for t in total)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
 
@@ -152,7 +185,7 @@ def fit(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), sizes:
             means = t[:, 1 : 1 + r] / nk[:, None]
             covs = t[:, 1 + r :].reshape(k, r, r) / nk[:, None, None] - means[:, :, None] * means[:, None, :]
             covs = (covs + covs.transpose(0, 2, 1)) / 2
-            floor = np.array([np.linalg.eigvalsh(c)[0] for c in covs])
+            floor = np.linalg.eigvalsh(covs)[:, 0]
             covs += (RIDGE + np.maximum(0, -floor))[:, None, None] * np.eye(r)
             after.append(_with(base, nk / nk.sum(), means, covs))
         for i, m in enumerate(models):
@@ -163,7 +196,7 @@ def fit(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), sizes:
         last, models, fitted = list(like), after, models
     else:
         models = fitted
-    return min(models, key=lambda m: m.bic)
+    return models
 
 
 def scores(x: DataFrame, model: Mixture, names: tuple[str, ...] = ("x0", "x1", "x2", "x3")) -> DataFrame:
@@ -182,7 +215,7 @@ def scores(x: DataFrame, model: Mixture, names: tuple[str, ...] = ("x0", "x1", "
 def clusters(df: DataFrame, typical: int = 5) -> DataFrame:
     """``component``, ``size``, ``typical`` (ids of highest density, densest first)."""
     x = cut(vectors(samples_of(df)))
-    model = fit(x)
+    model = chosen(x)
     if model is None:
         return x.groupBy(F.lit(0).alias("component")).agg(F.count("*").alias("size"), F.collect_list("id").alias("typical"))
     scored = cut(scores(x, model))
