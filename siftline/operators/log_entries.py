@@ -1,12 +1,13 @@
-"""Semi-structured log lines to entries with component and level, by iterative partitioning.
+"""Semi-structured log lines to entries with time, level, component and message, by iterative partitioning.
 
-Each line's first tokens are put into classes (parts of a time, level words in their wrappings,
-names with pid or line number, numbers, words). The distinct class sequences of lines that hold a
-time are split by token count, then at the position with the fewest classes, then by one-to-one
-relations between two positions, until the header positions of a leaf are constant; the leaves are
-templates. The slots of component and level come from a leaf's constant positions: those of common
-layouts by their order, those of any other by where a level and a name stand after the time, if
-lines enough have that header. JSON objects, on one line or several, are read by their keys.
+Every token of a line is put into a class by its marks (parts of a time, level words, names with
+pid or line number, key=value, numbers, words; with the brackets and colons around them). The
+distinct class sequences of lines that hold a time of day are split by token count, then again and
+again at the position with the fewest classes, of these one whose classes go one to one with those
+of another position; a part is a leaf once its leading constant positions settle the header. The
+leaf's template gives the slots: the constant positions of the time, of the level and of the
+component; all behind them is the message. No list of layouts takes part. JSON objects, on one line
+or several, are read by their keys.
 
 Null lines are blank lines. Repeated line ids count once. Lines before the first record of a
 log_file belong to no entry; an empty table has no entries. Extra columns are ignored.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from siftline.runtime import cut, small
 
-#: Tokens of a line that are looked at; lines of a file that one window takes.
-HEAD, CHUNK = 9, 4096
-#: Positions that a header can take, all of which are constant in a leaf.
-HEADER = 8
-#: Lines that must share a header of no common layout.
+#: Lines of a file that one window takes.
+CHUNK = 4096
+#: Class sequences of one length that one task partitions; larger parts are first split by joins.
+NODE = 50_000
+#: Lines that must share a header whose marks are unusual.
 SUPPORT = 5
 #: Levels by the words that headers use (fixed values).
 LEVELS = {
@@ -43,46 +44,42 @@ _WORDS = {w: level for level, words in LEVELS.items() for w in words}
 _LONG = {w for w in _WORDS if len(w) > 1}
 _SEVERITY = ("FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG")
 _MONTH = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-#: Classes of tokens; the first pattern that fits a whole token names it.
-_CLASSES = [
-    (re.compile(p), name)
-    for p, name in (
-        (r"<\d{1,3}>\d*", "PRI"),
-        (r"\[?\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\]?:?", "T_FULL"),
-        (r"\[?\d{1,2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}", "T_FULL"),
-        (r"\[?\d{4}[-/]\d{2}[-/]\d{2}", "T_DATE"),
-        (r"\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\]?:?", "T_TIME"),
-        (r"[+-]\d{2}:?\d{2}\]", "T_ZONE"),
-        (rf"(?:{_MONTH})", "T_MONTH"),
-        (r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?", "T_DAY"),
-        (r"[A-Z]\d{4}", "LETTER_DATE"),
-        (r"(?:ts|time|timestamp)=\S+", "KEY_TIME"),
-        (r"(?:lvl|level|severity)=\S+", "KEY_LEVEL"),
-        (r"(?:comp|component|logger|module)=\S+", "KEY_NAME"),
-        (r"[\w./-]+\[\d+\]:", "NAME[N]:"),
-        (r"[\w./-]+\.\w+:\d+\]", "FILE:N]"),
-        (r"-", "-"),
-        (r"\d+", "N"),
-    )
-]
-_WRAPS = ((re.compile(r"\[(\w+)\]"), "[LEVEL]"), (re.compile(r"<(\w+)>"), "<LEVEL>"), (re.compile(r"(\w+):"), "LEVEL:"), (re.compile(r"(\w+)"), "LEVEL"))
-_REST = [(re.compile(p), name) for p, name in ((r"\[[\w./:-]+\]", "[NAME]"), (r"[\w./-]+:", "NAME:"), (r"[A-Za-z_]\w*(?:\.\w+)+", "DOTTED"), (r"[A-Z]{2,5}", "CAPS"))]
-_LEVEL_CLASSES, _NAME_CLASSES = ("LEVEL", "[LEVEL]", "<LEVEL>", "LEVEL:", "KEY_LEVEL"), ("NAME[N]:", "NAME:", "FILE:N]", "[NAME]", "DOTTED", "KEY_NAME")
-_MEMBER = re.compile(r'\s*"([@\w.]+)"\s*:\s*"?([^",]*)"?,?\s*$')
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?"
+_DAY = rf"(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}|\d{{1,2}}[-/](?:{_MONTH})[-/]\d{{4}})"
+_ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
+#: Classes of what the marks around a token leave; the first that fits names it.
+_CORES = re.compile(
+    rf"(?P<TF>{_DAY}[T:_]{_CLOCK}{_ZONE}?)|(?P<TT>\d{{1,2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?{_ZONE}?)|(?P<TD>{_DAY})|(?P<TZ>[+-]\d{{2}}:?\d{{2}})|(?P<MON>{_MONTH})|(?P<WD>Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
+    r"|(?P<LD>[A-Z]\d{4})|(?P<N>\d+)|(?P<WN>[\w./-]+\[\d+)|(?P<FN>[\w./-]+\.\w+:\d+)|(?P<CAPS>[A-Z]{2,5})|(?P<DOT>[A-Za-z_]\w*(?:\.\w+)+)|(?P<W>[\w./:@+-]*\w[\w./:@+-]*)"
+)
+_LEAD, _TRAIL, _RULES = "[({<\"'|~#*", "])}>\"'|~#*:,;", set("-|:=~*#>")
+_PRIORITY = re.compile(r"<\d{1,3}>")
 _TIME_KEYS, _NAME_KEYS, _LEVEL_KEYS = {"time", "timestamp", "ts", "@timestamp"}, {"logger", "component", "program", "module"}, {"level", "severity", "lvl"}
+_TIMES, _CLOCKS = {"TF", "TT", "TD", "TZ", "MON", "WD", "LD", "KT"}, {"TF", "TT", "KT"}
+_MEMBER = re.compile(r'\s*"([@\w.]+)"\s*:\s*"?([^",]*)"?,?\s*$')
 
 
 def classify(token: str) -> str:
-    for pattern, name in _CLASSES:
-        if pattern.fullmatch(token):
-            return name
-    for pattern, name in _WRAPS:
-        if (m := pattern.fullmatch(token)) and m[1].lower() in _LONG:
-            return name
-    for pattern, name in _REST:
-        if pattern.fullmatch(token):
-            return name
-    return "WORD"
+    """The class of a token: the kind of its core with the marks around it, two on each side at most."""
+    if token[0] == "<" and (m := _PRIORITY.match(token)):
+        rest = token[m.end() :]
+        return "PRI" if not rest or rest.isdigit() else "PRI+" + classify(rest)
+    core = token.lstrip(_LEAD)
+    lead, core = token[: len(token) - len(core)], core.rstrip(_TRAIL)
+    trail = token[len(lead) + len(core) :]
+    if not core or set(core) <= _RULES:
+        return "-"
+    if len(lead) > 2 or len(trail) > 2:
+        return "X"
+    key, equals, value = core.partition("=")
+    if equals and key.isidentifier():
+        key = key.lower()
+        kind = "KT" if key in _TIME_KEYS and value[:1].strip("\"'[")[:1].isdigit() | value[1:2].isdigit() else "KL" if key in _LEVEL_KEYS else "KC" if key in _NAME_KEYS | {"comp"} else "K"
+        return lead + kind + trail.lstrip("\"'")
+    if core.lower() in _LONG:
+        return lead + "L" + trail
+    m = _CORES.fullmatch(core)
+    return lead + (m.lastgroup if m else "X") + trail
 
 
 def level_of(word: str | None) -> str:
@@ -123,7 +120,7 @@ class _Reader:
                 if name is not None and when:
                     return "{}", None, name, level, True
             return None, None, None, None, None
-        tokens = line.split(None, HEAD)[:HEAD]
+        tokens = line.split()
         seen, shape = self.seen, []
         for t in tokens:
             if (c := seen.get(t)) is None:
@@ -133,7 +130,7 @@ class _Reader:
                 if len(t) < 80:
                     seen[t] = c
             shape.append(c)
-        if not any(c.startswith(("T_FULL", "T_TIME", "KEY_TIME")) for c in shape[:6]):
+        if not any(core_of(c) in _CLOCKS for c in shape):
             return None, None, None, None, None
         return " ".join(shape), " ".join(tokens), None, None, None
 
@@ -155,113 +152,197 @@ def shapes(lines: DataFrame) -> DataFrame:
     return one.mapInArrow(run, "line_id bigint, log_file string, line_no bigint, shape string, head string, jname string, jlevel string, jtime boolean")
 
 
-def partition(rows: list[tuple[tuple[str, ...], int]], depth: int = 0) -> list[list[tuple[tuple[str, ...], int]]]:
-    """Split sequences of one length into leaves: at the position with the fewest classes, then by one-to-one relations."""
-    width = len(rows[0][0])
-    kinds = [{r[0][i] for r in rows} for i in range(width)]
-    varied = [i for i in range(width) if len(kinds[i]) > 1]
-    if not varied or len(rows) == 1 or depth > 2 * width:
-        return [rows] if not varied else _settled(rows, varied)
-    # the header ends at the first position that takes many classes; nothing after it is worth a split
-    best = min(varied, key=lambda i: (len(kinds[i]), i))
-    first = varied[0]
-    if len(kinds[best]) <= 3 or best == first or depth == 0:
-        pick = first if len(kinds[first]) <= 2 * len(kinds[best]) else best
-        groups = defaultdict(list)
-        for r in rows:
-            groups[r[0][pick]].append(r)
-        return [leaf for g in groups.values() for leaf in partition(g, depth + 1)]
-    for i in varied:
-        for j in varied:
-            pairs = {(r[0][i], r[0][j]) for r in rows}
-            if i < j and len(pairs) == len(kinds[i]) == len(kinds[j]):  # a bijection
-                groups = defaultdict(list)
-                for r in rows:
-                    groups[r[0][i]].append(r)
-                return [leaf for g in groups.values() for leaf in partition(g, depth + 1)]
-    return _settled(rows, varied)
-
-
-def _settled(rows: list[tuple[tuple[str, ...], int]], varied: list[int]) -> list[list[tuple[tuple[str, ...], int]]]:
-    """A leaf, split on where its header positions still vary."""
-    if varied[0] >= HEADER:
-        return [rows]
-    groups = defaultdict(list)
-    for r in rows:
-        groups[r[0][varied[0]]].append(r)
-    return [leaf for g in groups.values() for leaf in partition(g)]
-
-
-def slots(template: tuple[str, ...]) -> tuple[int, int] | None:
-    """Positions of component and level (-1: by the first token, -2: none) of a header; None if it starts no record."""
-    kinds = list(template)
-    if not any(k.startswith(("T_FULL", "T_TIME", "KEY_TIME")) for k in kinds[:6]):
-        return None
-    if kinds[0] == "PRI":  # priority, time, host, program
-        return (3, -1) if len(kinds) > 3 and kinds[1] == "T_FULL" else None
-    at = 0
-    while at < len(kinds) and (kinds[at].startswith("T_") or kinds[at] in ("KEY_TIME", "LETTER_DATE") or (kinds[at] == "N" and at and kinds[at - 1].startswith(("T_", "LETTER", "N", "CAPS")))):
+def core_of(kind: str) -> str:
+    """The kind of a class without its marks."""
+    if (got := _SEEN.get(kind)) is None:
+        got = _SEEN[kind] = kind.removeprefix("PRI+").strip(_LEAD + _TRAIL) or "-"
+    return got
+
+
+_SEEN: dict[str, str] = {}
+
+
+def _may_name(kinds: set[str]) -> bool:
+    """Could a header field be of one of these classes, if it stands behind the time?"""
+    return any(core_of(k) in ("L", "WN", "FN", "KC", "KL", "-") or k[-1] in "]:)}>|" or core_of(k) == "DOT" for k in kinds)
+
+
+def slots(kinds: list[set[str]]) -> tuple[int, int, int, int, bool] | int | None:
+    """The header that the leading constant positions of a part settle, from the classes at each position.
+
+    (first and last position of the time, of the component, of the level, unusual marks?); the level
+    is -1 if the first token states it, -2 if there is none. A number is the varied position that
+    must be split before the header is settled. None: the lines start no record.
+    """
+    width, at = len(kinds), 0
+    only = lambda i: next(iter(kinds[i])) if i < width and len(kinds[i]) == 1 else ""
+    varied = lambda i: i < width and len(kinds[i]) > 1
+    level, priority = -2, False
+    # before the time: a priority or a level, and names in brackets beside it
+    while not varied(at) and at < width and core_of(only(at)) not in _TIMES:
+        kind = only(at)
+        if kind == "PRI" and not at:
+            priority, level = True, -1
+        elif core_of(kind) == "L" and level == -2:
+            level = at
+        elif not (kind[0] in "[({" and core_of(kind) in ("W", "DOT", "CAPS", "N") and kind[-1] in "])}") and kind != "-":
+            return None
         at += 1
-        if at < len(kinds) and kinds[at] == "CAPS" and at + 1 < len(kinds) and kinds[at + 1] == "N":
-            at += 1  # an abbreviated zone before the year
-    if at == 0:
+    if varied(at):
+        return at
+    early = at > priority
+    if at >= width or early and level == -2:
         return None
-    rest = kinds[at:]
-    if kinds[0] == "LETTER_DATE":
-        return (at, -1) if rest and rest[0] == "FILE:N]" else None
-    if "KEY_NAME" in rest[:4]:
-        return at + rest.index("KEY_NAME"), at + rest.index("KEY_LEVEL") if "KEY_LEVEL" in rest[:4] else -2
-    leveled = [i for i, k in enumerate(rest[:4]) if k in ("LEVEL", "[LEVEL]", "<LEVEL>", "LEVEL:")]
-    if len(rest) >= 2 and rest[1] in ("NAME[N]:", "NAME:") and rest[0] in ("WORD", "DOTTED", "CAPS"):  # host, program
-        return at + 1, at + 2
-    if len(rest) >= 4 and rest[0] == "-" and rest[2] == "-":  # - name - level -
-        return at + 1, at + 3 if rest[3].strip("[]<>:") == "LEVEL" else -2
-    if leveled and leveled[0] == 0:
-        for i, k in enumerate(rest[1:4], 1):
-            if k == "NAME:" or k == "NAME[N]:" or k == "FILE:N]":
-                return at + i, at
-            if k in ("DOTTED", "WORD", "CAPS") and len(rest) > i + 1 and rest[i + 1] == "-":
-                return at + i, at
-            if k == "[NAME]" and (len(rest) <= i + 1 or rest[i + 1] not in ("DOTTED", "WORD") or len(rest) <= i + 2 or rest[i + 2] != "-"):
-                return at + i, at
-    if rest and rest[0] in ("NAME[N]:", "FILE:N]"):
-        return at, at + 1
-    return None
-
-
-def derived(template: tuple[str, ...]) -> tuple[int, int, str] | None:
-    """Slots of a header of no common layout, and its classes: the first level and the first name among the constant positions after the time."""
-    at = next((i for i, k in enumerate(template) if not k.startswith("T_") and k not in ("KEY_TIME", "N")), len(template))
-    rest = template[at : min(at + 4, HEADER)]
-    name = next((at + i for i, k in enumerate(rest) if k in _NAME_CLASSES), None)
-    # a bare level word behind the name may be the message's
-    level = next((at + i for i, k in enumerate(rest) if k in _LEVEL_CLASSES and (k != "LEVEL" or name is None or at + i < name)), None)
-    if not at or level is None or name is None:
+    time_from = time_to = at
+    if only(at).startswith("PRI+"):
+        priority, level = True, -1
+    letter, clock = core_of(only(at)) == "LD", False
+    while at < width:
+        if varied(at):
+            if not clock or any(core_of(k) in _TIMES or core_of(k) in ("N", "CAPS") for k in kinds[at]):
+                return at
+            break
+        core, before = core_of(only(at)), core_of(only(at - 1)) if at > time_from else ""
+        if core in _TIMES and (core != "LD" or at == time_from) and (core != "TT" or not clock):
+            clock |= core in _CLOCKS
+        elif core == "CAPS" and before == "TT" and only(at) == "CAPS":
+            if varied(at + 1):
+                return at + 1
+            if core_of(only(at + 1)) != "N":
+                break
+        elif not (core == "N" and (before in ("MON", "WD") or before in ("TT", "TZ", "CAPS") and not letter and any(only(i) == "MON" for i in range(time_from, at)))):
+            break
+        time_to, at = at, at + 1
+    if not clock:
+        return None
+    name, odd, gap = -1, False, False
+    while at < width and name < 0:
+        if varied(at):
+            return at if _may_name(kinds[at]) or any(core_of(k) in ("W", "CAPS", "N") for k in kinds[at]) else None
+        kind, core = only(at), core_of(only(at))
+        closes = kind[-1] in "]:" and core in ("WN", "FN") or kind[-1] == ":" and core in ("W", "DOT", "CAPS")
+        if kind == "-" or core == "N":
+            gap = True
+        elif core in ("L", "KL"):
+            if level == -2:
+                level = at
+            gap = False
+        elif core == "KC" or closes:
+            name, odd = at, kind[-1] == ":" and core not in ("WN", "FN") and level == -2 and at == time_to + 1
+        elif core == "K":
+            gap = False
+        elif kind[0] in _LEAD and kind[-1] in _TRAIL and core in ("W", "DOT", "CAPS"):
+            # in brackets: the component, or a context of the one that is set off behind it
+            if varied(at + 1) and any(core_of(k) in ("W", "DOT") for k in kinds[at + 1]):
+                return at + 1
+            if core_of(only(at + 1)) in ("W", "DOT") and only(at + 1) in ("W", "DOT"):
+                if varied(at + 2):
+                    return at + 2
+                if only(at + 2) == "-":
+                    at += 1
+            name, odd = at, kind[:1] != "[" and only(at) == kind or level == -2 and not priority
+        elif kind in ("W", "DOT", "CAPS"):
+            if varied(at + 1):
+                return at + 1
+            after = only(at + 1)
+            if after == "-" and (gap or level >= 0):
+                name = at
+            elif after and (core_of(after) in ("WN", "FN") or after[-1] == ":" and core_of(after) in ("W", "DOT", "CAPS")):
+                gap = False  # the host
+            elif priority and after in ("W", "DOT", "CAPS"):
+                name = at + 1  # host and program, without marks
+            elif kind == "DOT" and level >= 0:
+                name, odd = at, True
+            else:
+                return None
+        else:
+            return None
+        at = max(at, name) + 1
+    if name < 0:
+        return None
+    if level == -2 and letter:
+        level = -1
+    if level == -2:  # a level behind the component, in marks or set off
+        at, gap = name + 1, False
+        while at < width:
+            if varied(at):
+                if any(core_of(k) == "KL" or core_of(k) == "L" and (k != "L" or gap) or k == "-" or core_of(k) == "K" for k in kinds[at]):
+                    return at
+                break
+            core = core_of(only(at))
+            if core == "KL" or core == "L" and (only(at) != "L" or gap):
+                level = at
+                break
+            if only(at) != "-" and core != "K":
+                break
+            gap, at = only(at) == "-", at + 1
+    if early and level == -2:
         return None
-    return name, level, " ".join(template[: max(name, level) + 1])
+    return time_from, time_to, name, level, odd or early
+
+
+def partition(rows: list[tuple[tuple[str, ...], int]]) -> list[list[tuple[tuple[str, ...], int]]]:
+    """Split sequences of one length into leaves.
+
+    A part whose header is not settled is split at the position with the fewest classes; among such
+    positions at one whose classes go one to one with those of another, as that settles both.
+    """
+    leaves, parts = [], [rows]
+    while parts:
+        part = parts.pop()
+        kinds = [set(c) for c in zip(*(r[0] for r in part))]
+        varied = [i for i, k in enumerate(kinds) if len(k) > 1]
+        if not varied or not isinstance(slots(kinds), int):
+            leaves.append(part)
+            continue
+        fewest = min(len(kinds[i]) for i in varied)
+        least = [i for i in varied if len(kinds[i]) == fewest]
+        paired = (i for n, i in enumerate(least) for j in least[n + 1 :] if len({(r[0][i], r[0][j]) for r in part}) == fewest)
+        pick, groups = next(paired, least[0]), defaultdict(list)
+        for r in part:
+            groups[r[0][pick]].append(r)
+        parts.extend(groups.values())
+    return leaves
+
+
+def _split(counted: DataFrame) -> DataFrame:
+    """``shape``, ``n``, ``node``: parts of one length each; those above ``NODE`` sequences are split at their least variable position by joins."""
+    done, open_ = None, counted.withColumn("node", F.size(F.split("shape", " ")).cast("string"))
+    while True:
+        open_ = cut(open_)
+        sizes = open_.groupBy("node").agg(F.count("*").alias("size"))
+        large = sizes.where(F.col("size") > NODE)
+        if not large.limit(1).count():
+            return open_ if done is None else done.unionByName(open_)
+        fits = open_.join(large.select("node"), "node", "left_anti")
+        over = open_.join(large.select("node"), "node", "left_semi")
+        kinds = over.select("node", F.posexplode(F.split("shape", " ")).alias("at", "kind")).groupBy("node", "at", "kind").count()
+        kinds = kinds.groupBy("node", "at").agg(F.count("*").alias("many")).where("many > 1")
+        pick = kinds.groupBy("node").agg(F.min(F.struct("many", "at"))["at"].alias("at"))
+        done = fits if done is None else done.unionByName(fits)
+        open_ = over.join(pick, "node").select("shape", "n", F.concat_ws("/", "node", "at", F.get(F.split("shape", " "), F.col("at"))).alias("node"))
 
 
 def templates(shaped: DataFrame) -> DataFrame:
-    """``shape``, ``template``, ``support``, ``name_at``, ``level_at`` of each class sequence."""
+    """``shape``, ``template``, ``support`` and the slots (``time_from``, ``time_to``, ``name_at``, ``level_at``) of each class sequence."""
+    names = ("time_from", "time_to", "name_at", "level_at")
 
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for leaf in partition([(tuple(s.split(" ")), int(n)) for s, n in zip(pdf["shape"], pdf["n"])]):
-            kinds = [Counter(r[0][i] for r in leaf) for i in range(len(leaf[0][0]))]
-            template = tuple(next(iter(k)) if len(k) == 1 else "*" for k in kinds)
-            support = sum(n for _, n in leaf)
-            found, header = slots(template), None
-            if found is None and (other := derived(template)):
-                found, header = other[:2], other[2]
+            kinds = [set(c) for c in zip(*(r[0] for r in leaf))]
+            template = [next(iter(k)) if len(k) == 1 else "*" for k in kinds]
+            support, found = sum(n for _, n in leaf), slots(kinds)
+            places, header = ((), None) if found is None or isinstance(found, int) else (found[:4], " ".join(template[: max(found[1:4]) + 1]) if found[4] else None)
             for i, (sequence, _) in enumerate(leaf):
-                out.append((" ".join(sequence), " ".join(template), support, found[0] if found else None, found[1] if found else None, header, 0 if i else support))
-        return pd.DataFrame(out, columns=["shape", "template", "support", "name_at", "level_at", "header", "own"]).astype({"name_at": "Int32", "level_at": "Int32"})
+                out.append((" ".join(sequence), " ".join(template), support, *(places or (None,) * 4), header, 0 if i else support))
+        return pd.DataFrame(out, columns=["shape", "template", "support", *names, "header", "own"]).astype(dict.fromkeys(names, "Int32"))
 
     counted = shaped.where("head is not null").groupBy("shape").agg(F.count("*").alias("n"))
-    found = counted.groupBy(F.size(F.split("shape", " ")).alias("width")).applyInPandas(lambda pdf: leaves(pdf), "shape string, template string, support bigint, name_at int, level_at int, header string, own bigint")
-    # leaves of any length that share a header of no common layout support it together
+    found = _split(counted).groupBy("node").applyInPandas(lambda pdf: leaves(pdf), f"shape string, template string, support bigint, {', '.join(f'{c} int' for c in names)}, header string, own bigint")
+    # leaves of any length that share an unusual header support it together
     enough = F.col("header").isNull() | (F.sum("own").over(Window.partitionBy("header")) >= SUPPORT)
-    return found.withColumn("enough", enough).select("shape", "template", "support", *[F.when(F.col("enough"), F.col(c)).alias(c) for c in ("name_at", "level_at")])
+    return found.withColumn("enough", enough).select("shape", "template", "support", *[F.when(F.col("enough"), F.col(c)).alias(c) for c in names])
 
 
 def _level(word):
@@ -276,26 +357,36 @@ def entries(lines: DataFrame) -> DataFrame:
     return _found(lines).select("first_line_id", "last_line_id", "component", "log_level")
 
 
+def _latest(rows: DataFrame, column: str, upto: int) -> DataFrame:
+    """``rows`` with the last known ``column`` at or (``upto`` -1) before each, by ``log_file``, ``line_no``, ``line_id``.
+
+    Chunks of a file are scanned apart; what a chunk takes from earlier ones comes by one row a chunk.
+    """
+    order = Window.partitionBy("log_file", "chunk").orderBy("line_no", "line_id").rowsBetween(Window.unboundedPreceding, upto)
+    chunks = rows.where(F.col(column).isNotNull()).groupBy("log_file", "chunk").agg(F.max_by(column, F.struct("line_no", "line_id")).alias("_own"))
+    every = rows.select("log_file", "chunk").distinct().join(chunks, ["log_file", "chunk"], "left")
+    before = Window.partitionBy("log_file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("log_file", "chunk", F.last("_own", ignorenulls=True).over(before).alias("_carried"))
+    return rows.withColumn(column, F.last(column, ignorenulls=True).over(order)).join(every, ["log_file", "chunk"]).withColumn(column, F.coalesce(column, "_carried")).drop("_carried")
+
+
 def _found(lines: DataFrame) -> DataFrame:
-    """The entries with ``log_file``, ``start``, ``last`` (line number and id) and ``slot`` (places of name and level in the header)."""
+    """The entries with ``log_file``, ``start``, ``last`` (line number and id) and ``slot`` (places of the header's fields)."""
     shaped = cut(shapes(lines.where("line_id is not null")))
-    known = templates(shaped).where("name_at is not null").select("shape", "name_at", "level_at")
-    known = small(cut(known))
+    places = ("time_from", "time_to", "name_at", "level_at")
+    known = small(cut(templates(shaped).where("name_at is not null").select("shape", *places)))
     x = shaped.join(known, "shape", "left")
-    head = F.split("head", " ")
-    name = F.get(head, F.col("name_at"))
-    name = F.regexp_replace(F.regexp_replace(name, r"^(?:\w+=)?[\[\"]?", ""), r"(?:\[\d+\])?:$|:\d+\]$|[\]\"]$", "")
-    word = F.get(head, F.when(F.col("level_at") >= 0, F.col("level_at")))
-    stated = F.when(word.rlike(r"^(?:\w+=\"?\w+\"?|\[\w+\]|<\w+>|\w+:)$") | (F.col("level_at") < F.col("name_at")) | F.get(head, F.col("level_at") - 1).eqNullSafe("-"), F.regexp_replace(F.regexp_replace(word, r"^\w+=", ""), r"[\[\]<>:\"]", ""))
+    head, headed = F.split("head", " "), F.col("name_at").isNotNull()
+    name = F.regexp_replace(F.get(head, F.col("name_at")), r"^(?:\w+=)?[\[({<\"'|~#*]*", "")
+    name = F.regexp_replace(name, r"\[\d+\]:?$|:\d+[\])}>|:]*$|[\])}>\"'|~#*:,;]+$", "")
+    word = F.regexp_replace(F.get(head, F.when(F.col("level_at") >= 0, F.col("level_at"))), r"^\w+=|[^A-Za-z]", "")
     severity = F.regexp_extract("head", r"^<(\d+)>", 1)
-    by_first = F.when(severity != "", F.get(F.array(*[F.lit(v) for v in _SEVERITY]), F.pmod(severity.cast("int"), F.lit(8)))).otherwise(_level(F.substring("head", 1, 1)))
-    level = F.when(F.col("level_at") == -1, by_first).when(F.col("level_at") >= 0, F.coalesce(_level(stated), F.lit(""))).otherwise("")
-    start = F.when(F.col("name_at").isNotNull() | F.col("shape").isin("{", "{}"), F.struct("line_no", "line_id"))
-    slot = F.when(F.col("name_at").isNotNull(), F.struct("name_at", "level_at"))
+    by_first = F.when(severity != "", F.get(F.array(*[F.lit(v) for v in _SEVERITY]), F.pmod(severity.cast("int"), F.lit(8)))).otherwise(_level(F.regexp_extract("head", r"^\W*(\w)", 1)))
+    level = F.when(F.col("level_at") == -1, by_first).when(F.col("level_at") >= 0, F.coalesce(_level(word), F.lit(""))).otherwise("")
+    start = F.when(headed | F.col("shape").isin("{", "{}"), F.struct("line_no", "line_id"))
     x = x.select(
-        "line_id", "log_file", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), start.alias("start"),
-        F.when(F.col("name_at").isNotNull(), name).otherwise(F.col("jname")).alias("name"),
-        F.when(F.col("name_at").isNotNull(), level).otherwise(F.col("jlevel")).alias("level"), (F.col("shape") == "{").alias("opens"), "jtime", slot.alias("slot"),
+        "line_id", "log_file", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), start.alias("start"), F.when(headed, name).otherwise(F.col("jname")).alias("name"),
+        F.when(headed, level).otherwise(F.col("jlevel")).alias("level"), (F.col("shape") == "{").alias("opens"), "jtime", F.when(headed, F.struct(*places)).alias("slot"),
     )
     upto = Window.partitionBy("log_file", "chunk").orderBy("line_no", "line_id").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("start", F.last("start", ignorenulls=True).over(upto))
@@ -316,17 +407,18 @@ def _found(lines: DataFrame) -> DataFrame:
         F.max("last").alias("last"), F.min_by("name", "name_no").alias("name"), F.min_by("level", "level_no").alias("level"), F.bool_or("opens").alias("opens"), F.bool_or("timed").alias("timed"), F.max("slot").alias("slot"),
     )
     # an object over several lines that names no time or no component starts no record: its lines belong to the entry before
-    whole = whole.withColumn("valid", ~F.coalesce("opens", F.lit(False)) | (F.col("name").isNotNull() & F.coalesce("timed", F.lit(False))))
-    odd = whole.where("not valid")
-    if odd.limit(1).count():
-        order = Window.partitionBy("log_file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-        whole = whole.withColumn("start", F.last(F.when(F.col("valid"), F.col("start")), ignorenulls=True).over(order)).where("start is not null")
+    valid = ~F.coalesce("opens", F.lit(False)) | (F.col("name").isNotNull() & F.coalesce("timed", F.lit(False)))
+    whole = cut(whole.select("log_file", "start", "last", "name", "level", "slot", valid.alias("valid")))
+    if whole.where("not valid").limit(1).count():
+        own = whole.select("log_file", F.floor(F.col("start.line_no") / CHUNK).alias("chunk"), "start.line_no", "start.line_id", F.when(F.col("valid"), F.col("start")).alias("start"), "last", "name", "level", "slot", "valid")
         pick = lambda c: F.max(F.when(F.col("valid"), F.col(c))).alias(c)
-        whole = whole.groupBy("log_file", "start").agg(F.max("last").alias("last"), pick("name"), pick("level"), pick("slot"))
+        whole = _latest(own, "start", 0).where("start is not null").groupBy("log_file", "start").agg(F.max("last").alias("last"), pick("name"), pick("level"), pick("slot"))
     return whole.select(F.col("start.line_id").alias("first_line_id"), F.col("last.line_id").alias("last_line_id"), F.col("name").alias("component"), F.coalesce("level", F.lit("")).alias("log_level"), "log_file", "start", "last", "slot")
 
 
 _TOKEN, _JSON_MESSAGE = re.compile(r"\S+"), ("msg", "message", "text", "event")
+#: Process, message id and structured data behind the program of a record with a priority.
+_STRUCTURED = re.compile(r"\s+\S+\s+\S+\s+(?:-|(?:\[(?:[^\]\\]|\\.)*\])+)(?=\s|$)")
 
 
 def _member(low: dict, keys) -> str | None:
@@ -334,10 +426,10 @@ def _member(low: dict, keys) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
-def read_entry(lines: list[str | None], name_at: int | None, level_at: int | None) -> tuple[str | None, str]:
+def read_entry(lines: list[str | None], slot: dict | None) -> tuple[str | None, str]:
     """Time text and message of an entry: what the header leaves of the first line, and the lines that follow."""
     lines = [v or "" for v in lines]
-    if name_at is None:  # an object on one line or several, maybe with lines behind it
+    if slot is None:  # an object on one line or several, maybe with lines behind it
         text = "\n".join(lines)
         try:
             got, end = json.JSONDecoder().raw_decode(text)
@@ -352,30 +444,15 @@ def read_entry(lines: list[str | None], name_at: int | None, level_at: int | Non
             return _member(low, sorted(_TIME_KEYS)), text
         return _member(low, sorted(_TIME_KEYS)), f"{message}\n{more}" if more else message
     first, spans = lines[0], [m.span() for m in _TOKEN.finditer(lines[0])]
-    tokens = [first[a:b] for a, b in spans]
-    kinds = [classify(t) for t in tokens[:HEAD]]
-    end = name_at
-    if level_at is not None and level_at >= 0 and level_at < len(tokens):
-        word = tokens[level_at]
-        stated = level_at < name_at or tokens[level_at - 1] == "-" or re.fullmatch(r'\w+="?\w+"?|\[\w+\]|<\w+>|\w+:', word)
-        if stated and (level_at < name_at or level_of(re.sub(r'[\[\]<>:"]', "", re.sub(r"^\w+=", "", word)))):
-            end = max(end, level_at)
-    end = spans[end][1]
-    if kinds[0] == "PRI":
-        time = tokens[1]
-        if m := re.compile(r"\s+\S+\s+\S+\s+(?:-|(?:\[(?:[^\]\\]|\\.)*\])+)(?=\s|$)").match(first, end):  # process, message id, structured data
+    end = spans[max(slot["time_to"], slot["name_at"], slot["level_at"])][1]
+    time = first[spans[slot["time_from"]][0] : spans[slot["time_to"]][1]]
+    if m := _PRIORITY.match(first):
+        time = time.removeprefix(m[0])
+        if m := _STRUCTURED.match(first, end):
             end = m.end()
-    elif kinds[0] == "LETTER_DATE":
-        time = first[spans[0][0] + 1 : spans[1][1]]
-    else:
-        stop = 0
-        for i, k in enumerate(kinds[: min(name_at, HEAD)]):
-            if k.startswith("T_") or k == "KEY_TIME" or (k == "N" and i and (kinds[i - 1] == "T_MONTH" or ("T_MONTH" in kinds[:i] and len(tokens[i]) == 4))):
-                stop = i + 1
-            elif k != "CAPS":
-                break
-        time = first[spans[0][0] : spans[max(stop, 1) - 1][1]]
-    time = re.sub(r'^\w+=', "", time).strip('"').removeprefix("[").removesuffix(":").removesuffix("]")
+    if core_of(classify(time.split()[0])) == "LD":
+        time = re.sub(r"^\W*[A-Z]", "", time)
+    time = re.sub(r"^\w+=", "", time).strip(_LEAD + _TRAIL)
     rest = re.sub(r"^\s*(?:- )?\s*", "", first[end:]).removeprefix("- ")
     if m := re.fullmatch(r'(?:msg|message)="((?:[^"\\]|\\.)*)"\s*', rest):
         rest = m[1]
@@ -400,11 +477,11 @@ def records(lines: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for name_at, level_at, rows in zip(*(b.column(i).to_pylist() for i in (4, 5, 6))):
+            for slot, rows in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
                 once = {r["line_id"]: r["value"] for r in reversed(rows)}  # a repeated id counts once
-                out.append(read_entry(list(reversed(once.values())), name_at, level_at))
+                out.append(read_entry(list(reversed(once.values())), slot))
             times, messages = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(times, pa.string()), pa.array(messages, pa.string())], ["first_line_id", "last_line_id", "component", "log_level", "time_text", "message"])
 
-    whole = found.join(text, ["log_file", "first_line_id"]).select("first_line_id", "last_line_id", "component", "log_level", "slot.name_at", "slot.level_at", "lines")
+    whole = found.join(text, ["log_file", "first_line_id"]).select("first_line_id", "last_line_id", "component", "log_level", "slot", "lines")
     return whole.mapInArrow(run, "first_line_id bigint, last_line_id bigint, component string, log_level string, time_text string, message string")

@@ -164,3 +164,27 @@ def test_records_without_an_id_are_kept(spark):
     raw = spark.createDataFrame(rows, "raw_id bigint, feed_id int, received_at timestamp, value string")
     assert sorted((r["row_id"] or 0, r["registrant"]) for r in bad_rows.loaded(raw).collect()) == [(0, "Org"), (0, "Org"), (0, "Other"), (1, "Org")]
     assert [tuple(r) for r in bad_rows.bad_records(raw).collect()] == [(None, "column_count")] * 2
+
+
+def test_log_layouts_that_no_pattern_names(spark, monkeypatch):
+    # marks, order and length of these headers are listed nowhere; the time may stand behind more than nine tokens' worth of fields
+    rows = [(i, "f", i, f"(warn) {{2023/01/02}} 03:04:{i:02d} ~ ~ <{'abcdefgh'[i]}.store> {'x y 1 z'[: 2 * (i % 4) + 1]}", "") for i in range(8)]
+    rows += [(10 + i, "g", i, f"[a] [b] [c] [d] [e] [f] [g] [h] [i] [fatal] 2023-01-02 03:04:{i:02d} box{i}: {'x y 1 z'[: 2 * (i % 4) + 1]}", "") for i in range(8)]
+    rows += [(20 + i, "h", i, f"2023-01-02 03:04:0{i} some words at 03:04:05 not: a header", "") for i in range(8)]
+    df = spark.createDataFrame(rows, LOG)
+    want = [(i, i, f"{'abcdefgh'[i]}.store", "WARN") for i in range(8)] + [(10 + i, 10 + i, f"box{i}", "FATAL") for i in range(8)]
+    assert found(log_entries.entries(df)) == want
+    monkeypatch.setattr(log_entries, "NODE", 2)  # parts split by joins before a task takes them
+    assert found(log_entries.entries(df)) == want
+    monkeypatch.setattr(log_entries, "partition", lambda rows: [rows])
+    monkeypatch.setattr(log_entries, "NODE", 50_000)
+    assert found(log_entries.entries(df)) != want
+
+
+def test_log_objects_without_a_component_join_the_entry_before(spark, monkeypatch):
+    monkeypatch.setattr(log_entries, "CHUNK", 2)
+    rows = [(0, "f", 0, "Jan 10 06:28:26 h a[1]: x", "")]
+    for i in range(1, 13, 3):
+        rows += [(i, "f", i, "{", ""), (i + 1, "f", i + 1, ' "a": 1', ""), (i + 2, "f", i + 2, "}", "")]
+    rows += [(20, "f", 20, "{", ""), (21, "f", 21, ' "time": 1,', ""), (22, "f", 22, ' "logger": "b"', ""), (23, "f", 23, "}", ""), (24, "f", 24, "{", "")]
+    assert found(log_entries.entries(spark.createDataFrame(rows, LOG))) == [(0, 12, "a", ""), (20, 24, "b", "")]
