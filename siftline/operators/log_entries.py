@@ -2,9 +2,9 @@
 
 Every token of a line is put into a class by its marks (parts of a time, level words, names with
 pid or line number, key=value, numbers, words; with the brackets and colons around them). The
-distinct class sequences of lines that hold a time of day are split by token count, then again and
-again at the position with the fewest classes, of these one whose classes go one to one with those
-of another position; a part is a leaf once its leading constant positions settle the header. The
+distinct class sequences of lines that hold a time of day are split by token count, then at the
+position with the fewest classes, at a pair of positions whose classes go one to one, and where the
+header still varies; a part is a leaf once its leading constant positions settle the header. The
 leaf's template gives the slots: the constant positions of the time, of the level and of the
 component; all behind them is the message. No list of layouts takes part. JSON objects, on one line
 or several, are read by their keys.
@@ -53,6 +53,8 @@ _CORES = re.compile(
     r"|(?P<LD>[A-Z]\d{4})|(?P<N>\d+)|(?P<WN>[\w./-]+\[\d+)|(?P<FN>[\w./-]+\.\w+:\d+)|(?P<CAPS>[A-Z]{2,5})|(?P<DOT>[A-Za-z_]\w*(?:\.\w+)+)|(?P<W>[\w./:@+-]*\w[\w./:@+-]*)"
 )
 _LEAD, _TRAIL, _RULES = "[({<\"'|~#*", "])}>\"'|~#*:,;", set("-|:=~*#>")
+#: Marks that say nothing about a field; a token with several others is a word.
+_PLAIN = str.maketrans("", "", "\"',;")
 _PRIORITY = re.compile(r"<\d{1,3}>")
 _TIME_KEYS, _NAME_KEYS, _LEVEL_KEYS = {"time", "timestamp", "ts", "@timestamp"}, {"logger", "component", "program", "module"}, {"level", "severity", "lvl"}
 _TIMES, _CLOCKS = {"TF", "TT", "TD", "TZ", "MON", "WD", "LD", "KT"}, {"TF", "TT", "KT"}
@@ -69,17 +71,18 @@ def classify(token: str) -> str:
     trail = token[len(lead) + len(core) :]
     if not core or set(core) <= _RULES:
         return "-"
-    if len(lead) > 2 or len(trail) > 2:
-        return "X"
+    lead, trail = lead.translate(_PLAIN), trail.translate(_PLAIN)
+    if len(lead) > 1 or len(trail) > 1 and trail[-1] != ":":
+        return "W"
     key, equals, value = core.partition("=")
     if equals and key.isidentifier():
         key = key.lower()
-        kind = "KT" if key in _TIME_KEYS and value[:1].strip("\"'[")[:1].isdigit() | value[1:2].isdigit() else "KL" if key in _LEVEL_KEYS else "KC" if key in _NAME_KEYS | {"comp"} else "K"
-        return lead + kind + trail.lstrip("\"'")
+        kind = "KT" if key in _TIME_KEYS and value[:1].strip("\"'[")[:1].isdigit() | value[1:2].isdigit() else "KL" if key in _LEVEL_KEYS else "KC" if key in _NAME_KEYS | {"comp"} else ""
+        return lead + kind + trail if kind else "W"
     if core.lower() in _LONG:
         return lead + "L" + trail
     m = _CORES.fullmatch(core)
-    return lead + (m.lastgroup if m else "X") + trail
+    return lead + m.lastgroup + trail if m else "W"
 
 
 def level_of(word: str | None) -> str:
@@ -215,7 +218,7 @@ def slots(kinds: list[set[str]]) -> tuple[int, int, int, int, bool] | int | None
         time_to, at = at, at + 1
     if not clock:
         return None
-    name, odd, gap = -1, False, False
+    name, odd, gap, keyed = -1, False, False, core_of(only(time_from)) == "KT"
     while at < width and name < 0:
         if varied(at):
             return at if _may_name(kinds[at]) or any(core_of(k) in ("W", "CAPS", "N") for k in kinds[at]) else None
@@ -229,7 +232,7 @@ def slots(kinds: list[set[str]]) -> tuple[int, int, int, int, bool] | int | None
             gap = False
         elif core == "KC" or closes:
             name, odd = at, kind[-1] == ":" and core not in ("WN", "FN") and level == -2 and at == time_to + 1
-        elif core == "K":
+        elif keyed and kind == "W":
             gap = False
         elif kind[0] in _LEAD and kind[-1] in _TRAIL and core in ("W", "DOT", "CAPS"):
             # in brackets: the component, or a context of the one that is set off behind it
@@ -266,14 +269,14 @@ def slots(kinds: list[set[str]]) -> tuple[int, int, int, int, bool] | int | None
         at, gap = name + 1, False
         while at < width:
             if varied(at):
-                if any(core_of(k) == "KL" or core_of(k) == "L" and (k != "L" or gap) or k == "-" or core_of(k) == "K" for k in kinds[at]):
+                if any(core_of(k) == "KL" or core_of(k) == "L" and (k != "L" or gap) or k == "-" for k in kinds[at]):
                     return at
                 break
             core = core_of(only(at))
             if core == "KL" or core == "L" and (only(at) != "L" or gap):
                 level = at
                 break
-            if only(at) != "-" and core != "K":
+            if only(at) != "-" and not (keyed and only(at) == "W"):
                 break
             gap, at = only(at) == "-", at + 1
     if early and level == -2:
@@ -281,27 +284,30 @@ def slots(kinds: list[set[str]]) -> tuple[int, int, int, int, bool] | int | None
     return time_from, time_to, name, level, odd or early
 
 
-def partition(rows: list[tuple[tuple[str, ...], int]]) -> list[list[tuple[tuple[str, ...], int]]]:
+def partition(rows: list[tuple[tuple[str, ...], int]], least: bool = True) -> list[list[tuple[tuple[str, ...], int]]]:
     """Split sequences of one length into leaves.
 
-    A part whose header is not settled is split at the position with the fewest classes; among such
-    positions at one whose classes go one to one with those of another, as that settles both.
+    First at the position with the fewest classes (if ``least``), then at two positions whose
+    classes go one to one, at last where the header is not settled yet. A part whose header the
+    leading constant positions settle is a leaf at any step.
     """
-    leaves, parts = [], [rows]
+    leaves, parts = [], [(rows, "least" if least else "bijection")]
     while parts:
-        part = parts.pop()
+        part, step = parts.pop()
         kinds = [set(c) for c in zip(*(r[0] for r in part))]
         varied = [i for i, k in enumerate(kinds) if len(k) > 1]
-        if not varied or not isinstance(slots(kinds), int):
+        at = slots(kinds)
+        if not varied or not isinstance(at, int):
             leaves.append(part)
             continue
-        fewest = min(len(kinds[i]) for i in varied)
-        least = [i for i in varied if len(kinds[i]) == fewest]
-        paired = (i for n, i in enumerate(least) for j in least[n + 1 :] if len({(r[0][i], r[0][j]) for r in part}) == fewest)
-        pick, groups = next(paired, least[0]), defaultdict(list)
+        if step == "least":
+            at, step = min(varied, key=lambda i: len(kinds[i])), "bijection"
+        elif step == "bijection":
+            at, step = next((i for n, i in enumerate(varied) for j in varied[n + 1 :] if len(kinds[i]) == len(kinds[j]) == len({(r[0][i], r[0][j]) for r in part})), at), "header"
+        groups = defaultdict(list)
         for r in part:
-            groups[r[0][pick]].append(r)
-        parts.extend(groups.values())
+            groups[r[0][at]].append(r)
+        parts.extend((g, step) for g in groups.values())
     return leaves
 
 
