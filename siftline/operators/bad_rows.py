@@ -1,8 +1,9 @@
 """Rows that fail to parse, set apart with the reason while the valid ones are loaded.
 
-Blocks of records go through the columnar CSV parser and columnar checks at once. A block that
-fails is halved until few records are left; these are read by a strict automaton, which names the
-first reason in the order of ``REASONS``. Valid records come as typed columns.
+Blocks of records go through columnar checks and the columnar CSV reader at once. A block that fails
+is halved, and the halves again, until its bad records stand alone; only these are read by a strict
+automaton, which names the first reason in the order of ``REASONS``. The rest of the block stays
+columnar; valid records come as typed columns.
 
 A null record is an empty line. A repeated id counts once, by its smallest record; rows without an
 id are kept. Text may hold any character; an empty table gives no rows.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import io
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 FIELDS = ("date", "domain", "ip", "reverse", "description", "registrant", "asn", "inactive", "country")
 REASONS = ("quoting", "column_count", "bad_domain", "bad_ip", "bad_registrant")
-#: Records of a block, and of a failing part that is read strictly.
-BLOCK, LEAF = 2048, 16
+#: Records of a block.
+BLOCK = 2048
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
@@ -114,42 +116,89 @@ def diagnose(record: str | None) -> tuple[str | None, list[str] | None]:
     return None, fields
 
 
-def _fast(values: pa.Array) -> list[pa.Array] | None:
-    """The columns of a block of valid records, or None if any record may be bad."""
-    if values.null_count or not pc.all(pc.match_substring_regex(values, RECORD_RE), min_count=0).as_py():
-        return None
-    joined = "\n".join(values.to_pylist()) + "\n"
+def _csv(records: list[str]) -> pa.Table | None:
+    """The columns of well-formed records in one bulk read; None if the reader refuses them or sees another number of rows."""
+    joined = ("\n".join(records) + "\n").encode()
     try:
         got = pcsv.read_csv(
-            io.BytesIO(joined.encode()),
-            read_options=pcsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=len(joined) * 4 + 16),
+            io.BytesIO(joined),
+            read_options=pcsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=len(joined) + 16),
             parse_options=pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
             convert_options=pcsv.ConvertOptions(column_types={f: pa.string() for f in FIELDS}, strings_can_be_null=False, quoted_strings_can_be_null=False),
-        ).combine_chunks()
+        )
     except pa.ArrowInvalid:
         return None
-    if got.num_rows != len(values):
-        return None
-    columns = [got.column(f).combine_chunks() for f in FIELDS]
-    fits = lambda column, pattern: pc.all(pc.match_substring_regex(column, pattern), min_count=0).as_py()
-    registrant = columns[5]
-    lettered = pc.all(pc.or_(pc.equal(registrant, "-"), pc.match_substring_regex(registrant, r"\pL")), min_count=0).as_py()
-    if fits(columns[1], DOMAIN_RE) and fits(columns[2], IP_RE) and fits(registrant, REGISTRANT_RE) and lettered:
-        return columns
-    return None
-
-
-def parse_block(values: pa.Array) -> tuple[list, list[list]]:
-    """Reasons (None: valid) and the nine columns of a block, by bisection of failing parts."""
-    if len(values) > LEAF and (columns := _fast(values)) is not None:
-        return [None] * len(values), [c.to_pylist() for c in columns]
-    if len(values) > LEAF:
-        half = len(values) // 2
-        ra, ca = parse_block(values.slice(0, half))
-        rb, cb = parse_block(values.slice(half))
-        return ra + rb, [x + y for x, y in zip(ca, cb)]
-    found = [diagnose(v) for v in values.to_pylist()]
-    return [reason for reason, _ in found], [list(c) for c in zip(*(fields or [None] * len(FIELDS) for _, fields in found))] or [[] for _ in FIELDS]
+    return got.combine_chunks() if got.num_rows == len(records) else None
+
+
+def _failing(columns: pa.Table) -> np.ndarray:
+    """Which rows fail a columnar check of domain, ip or registrant."""
+    fits = lambda field, pattern: pc.match_substring_regex(columns.column(field), pattern)
+    registrant = columns.column("registrant")
+    lettered = pc.or_(pc.equal(registrant, "-"), pc.match_substring_regex(registrant, r"\pL"))
+    good = pc.and_(pc.and_(fits("domain", DOMAIN_RE), fits("ip", IP_RE)), pc.and_(fits("registrant", REGISTRANT_RE), lettered))
+    return ~good.to_numpy().astype(bool)
+
+
+def isolate(failing: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Spans of a block without a failing record, and the failing ones, by halving what fails down to single records."""
+    before = np.concatenate([[0], np.cumsum(failing)])
+    spans, single, parts = [], [], [(0, len(failing))]
+    while parts:
+        lo, hi = parts.pop()
+        if before[hi] == before[lo]:
+            if lo < hi:
+                spans.append((lo, hi))
+        elif hi - lo == 1:
+            single.append(lo)
+        else:
+            middle = (lo + hi) // 2
+            parts += [(middle, hi), (lo, middle)]
+    return spans, single
+
+
+def parse_block(values: pa.Array) -> tuple[list, list[list], int]:
+    """Reasons (None: valid) and the nine columns of a block, and how many records were read strictly.
+
+    The block is checked in bulk, field by field; a failing part is halved until its bad records
+    stand alone. What passes is loaded in bulk, and only isolated records are diagnosed.
+    """
+    n = len(values)
+    reasons: list = [None] * n
+    columns: list[list] = [[None] * n for _ in FIELDS]
+    texts, strict = values.to_pylist(), 0
+
+    def diagnosed(i: int) -> None:
+        nonlocal strict
+        strict += 1
+        reasons[i], fields = diagnose(texts[i])
+        for column, value in zip(columns, fields or ()):
+            column[i] = value
+
+    def load(rows: list[int]) -> None:
+        got = _csv([texts[i] for i in rows])
+        if got is None:  # the reader refuses a record that the pattern takes
+            if len(rows) == 1:
+                return diagnosed(rows[0])
+            load(rows[: len(rows) // 2])
+            return load(rows[len(rows) // 2 :])
+        spans, single = isolate(_failing(got))
+        for column, field in zip(columns, FIELDS):
+            read = got.column(field).to_pylist()
+            for lo, hi in spans:
+                for at in range(lo, hi):
+                    column[rows[at]] = read[at]
+        for at in single:
+            diagnosed(rows[at])
+
+    if n:
+        shaped = pc.fill_null(pc.match_substring_regex(values, RECORD_RE), False)
+        spans, single = isolate(~shaped.to_numpy(zero_copy_only=False).astype(bool))
+        for i in single:
+            diagnosed(i)
+        if spans:
+            load([i for lo, hi in spans for i in range(lo, hi)])
+    return reasons, columns, strict
 
 
 def parsed(raw: DataFrame, id_col: str = "raw_id", value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +210,7 @@ def parsed(raw: DataFrame, id_col: str = "raw_id", value_col: str = "value", kee
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                reasons, columns = parse_block(part.column(part.num_columns - 1))
+                reasons, columns, _ = parse_block(part.column(part.num_columns - 1))
                 arrays = [*part.columns[:-1], pa.array(reasons, pa.string()), *(pa.array(c, pa.string()) for c in columns)]
                 yield pa.RecordBatch.from_arrays(arrays, ["raw_id", *keep, "reason", *(f"f_{f}" for f in FIELDS)])
 

@@ -100,18 +100,30 @@ def test_diagnose(record, reason):
 def test_blocks_agree_with_strict_reading(records):
     import pyarrow as pa
 
-    leaf, bad_rows.LEAF = bad_rows.LEAF, 1
-    try:
-        reasons, columns = bad_rows.parse_block(pa.array(records, pa.string()))
-    finally:
-        bad_rows.LEAF = leaf
+    reasons, columns, strict = bad_rows.parse_block(pa.array(records, pa.string()))
     want = [bad_rows.diagnose(r) for r in records]
+    assert sum(r is not None for r in reasons) <= strict
     assert reasons == [r for r, _ in want]
     for i, (reason, fields) in enumerate(want):
         if reason is None:
             assert [c[i] for c in columns] == fields
 
 
+def test_only_bad_records_are_read_strictly():
+    import duckdb
+    import pyarrow as pa
+
+    values = [v for (v,) in duckdb.sql("select value from '/root/testdata/sf0.01/mdl_raw.parquet'").fetchall()]
+    reasons, _, strict = bad_rows.parse_block(pa.array(values, pa.string()))
+    bad = sum(r is not None for r in reasons)
+    assert 0 < bad <= strict <= 1.5 * bad
+    failing = [i % 7 == 3 for i in range(40)]
+    import numpy as np
+
+    spans, single = bad_rows.isolate(np.array(failing))
+    assert single == [i for i in range(40) if failing[i]] and sorted(i for a, b in spans for i in range(a, b)) == [i for i in range(40) if not failing[i]]
+
+
 def test_bad_records(spark):
     at = datetime(2024, 1, 1)
     rows = [(1, 1, at, GOOD), (2, 1, at, None), (2, 1, at, None), (3, 1, at, "x" * 200_000), (4, 1, at, GOOD.replace("a.example", "a")), (5, None, None, GOOD)]
