@@ -20,8 +20,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(larger > 0, F.size(F.array_intersect(a, b)) / larger)
 
 
+#: Distinct tokens of a pair that have code points below the surrogates.
+_CODES = 55_000
+
+
+def _spelled(tokens: Column, vocabulary: Column, missing: int) -> Column:
+    """A string with one character for each token; a null is no token of the other list."""
+    codes = F.transform(tokens, lambda t: F.lpad(F.hex(F.coalesce(F.array_position(vocabulary, t) + 2, F.lit(missing))), 4, "0"))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+
 def levenshtein(a: Column, b: Column) -> Column:
-    """Edit distance of two token lists: one row of the table is carried through the first list."""
+    """Edit distance of two token lists, by the built-in distance of strings that spell each token as one character."""
+    vocabulary = F.array_distinct(F.concat(a, b))
+    return F.when(F.size(vocabulary) <= _CODES, F.levenshtein(_spelled(a, vocabulary, 1), _spelled(b, vocabulary, 2))).otherwise(_levenshtein_rows(a, b))
+
+
+def _levenshtein_rows(a: Column, b: Column) -> Column:
+    """The same for lists of more tokens than there are characters: one row of the table is carried through the first list."""
     first = F.sequence(F.lit(0), F.size(b))
 
     def row(acc: Column, x: Column) -> Column:

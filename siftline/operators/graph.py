@@ -1,28 +1,86 @@
 """Linked records as trees: components, single-linkage trees, exemplars, nested JSON.
 
 ``sims`` is ``sim, src, dst``. Null or equal ends are no links. A component's tree is built in one
-task, as the linkage depends on the order of its links; components themselves are found by joins.
+task, as the linkage depends on the order of its links; components themselves are found by joins,
+after the links of each partition have been reduced to a forest.
 """
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.runtime import cut
 
+#: Links that one task joins to components.
+TASK_LINKS = 2_000_000
+
+
+def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links and the smallest of each one's component: roots hook to smaller ones, then pointers are halved."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    up = np.arange(len(nodes))
+    while True:
+        rx, ry = up[x], up[y]
+        apart = rx != ry
+        if not apart.any():
+            return nodes, nodes[up]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(up, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _locally(final: bool):
+    """Links of a partition to (node, root) links; without ``final``, roots themselves are left out and memory is bounded."""
+
+    def run(batches):
+        held, count = [], 0
+
+        def made():
+            nodes, roots = _labels(*map(np.concatenate, zip(*held)))
+            keep = slice(None) if final else nodes != roots
+            return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(roots[keep], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            count += batch.num_rows
+            if count >= TASK_LINKS and not final:
+                yield made()
+                held, count = [], 0
+        if held:
+            yield made()
+
+    return run
+
 
 def components(links: DataFrame) -> DataFrame:
-    """``id``, ``component`` (its smallest id), by contraction.
+    """``id``, ``component`` (its smallest id).
+
+    Links are first reduced to forests within their partitions; if these hold at most ``TASK_LINKS``
+    links together, one task joins them, else they are contracted.
+    """
+    forest = links.where("src <> dst").select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")).mapInArrow(_locally(False), "a bigint, b bigint")
+    forest = cut(forest)
+    if forest.count() > TASK_LINKS:
+        return contracted(forest)
+    return forest.coalesce(1).mapInArrow(_locally(True), "a bigint, b bigint").select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """``id``, ``component`` of links ``a, b`` by contraction.
 
     In each round every node points to its smallest neighbour if that is smaller, chains of pointers
     are halved until all lead to their ends, and links are redrawn between the ends. Only local
     minima stay, at most half of the nodes, so rounds and halvings are logarithmic.
     """
-    edges = cut(links.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -42,7 +100,7 @@ def components(links: DataFrame) -> DataFrame:
         pa, pb = up.select("a", F.col("p").alias("x")), up.select(F.col("a").alias("b"), F.col("p").alias("y"))
         edges = cut(edges.join(pa, "a").join(pb, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
         if not edges.limit(1).count():
-            return labels
+            return labels.select("id", "component")
 
 
 class _Forest:

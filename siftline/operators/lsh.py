@@ -81,11 +81,18 @@ def overflow(buckets: DataFrame, p: MinHash) -> DataFrame:
     return _ranked(buckets).where(F.col("r") > (p.bin_limit or 0)).drop("r") if p.bin_limit else buckets.limit(0)
 
 
-def candidate_pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct ``src`` < ``dst`` that share a bucket; buckets with one entry are left out before the join."""
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    b = buckets.join(shared, ["band", "key"], "left_semi")
-    return b.withColumnRenamed("id", "src").join(b.withColumnRenamed("id", "dst"), ["band", "key"]).where("src < dst").select("src", "dst").distinct()
+def candidate_pairs(buckets: DataFrame, rows: int = 1024) -> DataFrame:
+    """Distinct ``src`` < ``dst`` that share a bucket.
+
+    A bucket of more than ``rows`` entries is cut into blocks of about that size, and each pair of
+    blocks is joined on its own, so that no task takes a whole crowded bucket.
+    """
+    crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > rows).select("band", "key", F.ceil(F.col("n") / rows).alias("g"))
+    b = buckets.join(small(crowded), ["band", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1).cast("bigint")))
+    own, other = F.pmod(F.xxhash64("id"), F.col("g")), F.explode(F.expr("sequence(0L, g - 1)"))
+    left = b.select("band", "key", F.col("id").alias("src"), own.alias("i"), other.alias("j"))
+    right = b.select("band", "key", F.col("id").alias("dst"), other.alias("i"), own.alias("j"))
+    return left.join(right, ["band", "key", "i", "j"]).where("src < dst").select("src", "dst").distinct()
 
 
 def similarities(df: DataFrame, pairs: DataFrame, metric: str = "jaccard", threshold: float = 0.5) -> DataFrame:
