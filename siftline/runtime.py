@@ -56,6 +56,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", hot: int = 100_000, salts: int = 64) -> DataFrame:
+    """Join ``many`` with ``one``, which has one row a ``key``; keys with over ``hot`` rows go to ``salts`` tasks each, by the hash of ``by``."""
+    crowd = small(cut(many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key, F.lit(salts).cast("bigint").alias("_s"))))
+    own = many.join(crowd, key, "left").withColumn("_salt", F.when(F.col("_s").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_s")))).drop("_s")
+    each = one.join(crowd, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_s"), F.lit(1)) - 1))).drop("_s")
+    return own.join(each, [key, "_salt"], how).drop("_salt")
+
+
 def collect_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> list:
     """Collect a table whose size is bounded by the problem; refuse a larger one."""
     got = df.limit(rows + 1).collect()
