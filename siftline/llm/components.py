@@ -2,9 +2,11 @@
 
 Each edge partition is reduced to a spanning forest by union-find in bounded memory; forests are
 merged eight partitions at a time through partitions of at most ``bound`` edges, until one
-partition of at most ``bound`` edges holds what is left. Where the forest of the whole graph is
-larger than ``bound`` (so that no single task may hold it), alternating star rounds finish the
-work with joins and aggregates only. No edge is dropped and nothing is sent to the driver but counts.
+partition of at most ``bound`` edges holds what is left. Where the forests of one partition after
+another exceed ``bound``, so that no task may hold them all, their nodes are contracted: each leads to
+a local minimum, at most half of the nodes, and the links between these go through the union-find of
+partitions again. Groups of the contracted nodes are then handed down. Joins on a hub are salted. No
+edge is dropped and nothing is sent to the driver but counts.
 
 Rows with a null end or two equal ends are no links; repeated and reversed links count once; an
 empty table gives no groups. A group's identifier is its smallest record.
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.runtime import cut
+from siftline.runtime import cut, spread_join
 
 #: Most edges that one task merges at a time.
 BOUND = 2_000_000
 FAN_IN = 8
+#: Links of a node beyond which a join on it is salted.
+HOT = 100_000
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,38 +72,43 @@ def _forests(bound: int, with_roots: bool):
     return run
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Alternate large and small stars until every edge leads to its component's smallest node."""
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges
-        before = now
+def _contract(forest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, p``: the local minimum each node leads to; ``a, b``: the links left between local minima."""
+    both = forest.union(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")))
+    while True:  # chains of pointers are halved until all lead to their ends
+        over = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        up = cut(spread_join(up, over, "p", "a", hot=HOT).select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+        moved = up.where("moved").limit(1).count()
+        up = up.select("a", "p")
+        if not moved:
+            break
+    rest = spread_join(forest, up.select("a", F.col("p").alias("x")), "a", "b", hot=HOT)
+    rest = spread_join(rest, up.select(F.col("a").alias("b"), F.col("p").alias("y")), "b", "a", hot=HOT)
+    return up, rest.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", bound: int = BOUND) -> DataFrame:
     """``record_id`` and ``group_id`` of every record that has a link."""
     links = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
-    forest = cut(links.mapInArrow(_forests(bound, False), "a bigint, b bigint"))
+    levels: list[DataFrame] = []
     while True:
-        count, parts = forest.count(), forest.rdd.getNumPartitions()
+        forest = cut(links.mapInArrow(_forests(bound, False), "a bigint, b bigint"))
+        while (count := forest.count()) > bound:
+            parts = forest.rdd.getNumPartitions()
+            target = max(-(-count // bound), -(-parts // FAN_IN))
+            if target >= parts:
+                break
+            forest = cut(forest.repartition(target).mapInArrow(_forests(bound, False), "a bigint, b bigint"))
         if count <= bound:
-            return forest.repartition(1).mapInArrow(_forests(bound, True), "a bigint, b bigint").select(F.col("b").alias("group_id"), F.col("a").alias("record_id"))
-        target = max(-(-count // bound), -(-parts // FAN_IN))
-        if target >= parts:
             break
-        forest = cut(forest.repartition(target).mapInArrow(_forests(bound, False), "a bigint, b bigint"))
-    forest = _stars(forest)
-    return forest.select(F.col("b").alias("group_id"), F.col("a").alias("record_id")).union(forest.select("b", F.col("b").alias("record_id")).distinct())
+        up, links = _contract(forest)
+        levels.append(up)
+    whole = forest.repartition(1).mapInArrow(_forests(bound, True), "a bigint, b bigint")
+    for up in reversed(levels):  # a local minimum without links left is its group's
+        to = cut(whole).select(F.col("a").alias("p"), F.col("b").alias("g"))
+        whole = spread_join(up, to, "p", "a", "left", HOT).select("a", F.coalesce("g", "p").alias("b"))
+    return whole.select(F.col("b").alias("group_id"), F.col("a").alias("record_id"))
 
 
 def sim_groups(sims: DataFrame, least: float = 0.5) -> DataFrame:

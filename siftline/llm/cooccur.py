@@ -8,6 +8,7 @@ item's list, the heavy items of its basket. The three parts don't overlap and ar
 Items that no reported pair can hold (fewer than ``least`` baskets, or more than N / lift) are left
 out beforehand, which loses no pair.
 
+Items and baskets are told apart by 64-bit hashes (xxHash): two of a billion share one with a chance of about 3 %.
 An item counts once a basket; null baskets and items are none; an empty table has no pairs.
 """
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.runtime import cut
+from siftline.runtime import cut, small
 
 #: Most heavy items (they fill a matrix of counts in each block), baskets a block, light items a task takes of a basket.
 HEAVY_ITEMS, BLOCK, WIDE = 2048, 32_768, 512
@@ -78,14 +79,18 @@ def pairs(entries: DataFrame, least: int = 4, lift: int = 3, heavy_items: int =
     dense = e.where("heavy").select(F.pmod(F.col("basket"), F.lit(blocks)).alias("block"), "basket", "item")
     dense = dense.groupBy("block").applyInPandas(lambda pdf: _popcounts(pdf), "a bigint, b bigint, n bigint")
     light = e.where("not heavy").select("basket", "item")
-    # wide baskets: an item goes to one row and one column of a grid of tasks
-    spread = light.groupBy("basket").agg(F.ceil(F.count("*") / wide).cast("int").alias("g"))
-    li = light.join(spread, "basket").withColumn("s", F.pmod(F.hash("item"), F.col("g")))
-    la = li.select("basket", F.col("item").alias("a"), F.col("s").alias("x"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("y"))
-    lb = li.select("basket", F.col("item").alias("b"), F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("x"))
+    # wide baskets: an item goes to one row and one column of a grid of tasks; its heavy partners go with each row
+    spread = light.groupBy("basket").agg(F.ceil(F.count("*") / wide).cast("int").alias("g")).where("g > 1")
+    spread = small(cut(spread))
+    g = F.coalesce("g", F.lit(1))
+    li = light.join(spread, "basket", "left").select("basket", "item", g.alias("g"), F.pmod(F.hash("item"), g).alias("s"))
+    all_parts = F.explode(F.expr("sequence(0, g - 1)"))
+    la = li.select("basket", F.col("item").alias("a"), F.col("s").alias("x"), all_parts.alias("y"))
+    lb = li.select("basket", F.col("item").alias("b"), F.col("s").alias("y"), all_parts.alias("x"))
     rare = la.join(lb, ["basket", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    lists = e.where("heavy").groupBy("basket").agg(F.collect_list("item").alias("hs"))
-    mixed = light.join(lists, "basket").select(F.col("item").alias("l"), F.explode("hs").alias("h"))
+    lists = e.where("heavy").groupBy("basket").agg(F.collect_list("item").alias("hs"))  # at most heavy_items each
+    lists = lists.join(spread, "basket", "left").withColumn("g", g).select("basket", "hs", all_parts.alias("s"))
+    mixed = li.join(lists, ["basket", "s"]).select(F.col("item").alias("l"), F.explode("hs").alias("h"))
     mixed = mixed.select(F.least("l", "h").alias("a"), F.greatest("l", "h").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     counted = dense.union(rare).union(mixed).groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     ka = known.select(F.col("i").alias("a"), F.col("item").alias("ta"), F.col("n_item").alias("ca"))

@@ -131,8 +131,9 @@ def test_items_of_feed(spark):
 # components
 
 
-@pytest.mark.parametrize("bound", [10, 60, 10**6])
-def test_components(spark, bound):
+@pytest.mark.parametrize("bound, hot", [(10, 100_000), (10, 5), (60, 100_000), (10**6, 100_000)])
+def test_components(spark, bound, hot, monkeypatch):
+    monkeypatch.setattr(components, "HOT", hot)
     rng = random.Random(bound)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(140)]
     edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges] * 2
