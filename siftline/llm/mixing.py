@@ -3,9 +3,11 @@
 Each document of a source gets the same expected number of copies, so that the source's expected
 size is its share of the total; the fraction over whole copies is a probability. Pivotal rounding
 takes two fractional documents at a time and moves size from one to the other at random until one
-is whole, so that the source's size stays what it was. Every partition does this on its own and
-passes on at most one fractional document a source; these are combined by a reduction tree of
-bounded fan-in. A source misses its size by less than one document.
+is whole, so that the source's size stays what it was. Documents of a source are hashed to buckets
+by their ids, as many as its number of documents asks for; every bucket does this on its own and
+passes on at most one fractional document; these are combined by a reduction tree of bounded
+fan-in. A source misses its size by less than one document. The draw depends on the seed, ids and
+sizes only, not on partitions or the cluster.
 
 Without a given total the largest one is taken that every source with documents can meet under its
 cap. Documents of unlisted or null sources, and those without tokens, get no copies; a target
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from siftline.llm.bpe import count_tokens
 from siftline.runtime import collect_small, cut
 
-#: Fractional documents that one task of the tree takes at most.
-FAN_IN = 64
+#: Documents of a bucket (about), buckets that one task of the tree combines.
+BUCKET, FAN_IN = 50_000, 64
 _MASK = (1 << 64) - 1
-SCHEMA = "source string, doc_id bigint, n_tokens bigint, copies bigint, frac double, settled boolean"
+SCHEMA = "source string, bucket bigint, doc_id bigint, n_tokens bigint, copies bigint, frac double, settled boolean"
 
 
 def _uniform(seed: int, a: int, b: int) -> float:
@@ -62,29 +64,11 @@ def _pivot(rows, seed: int, last: bool):
     return out
 
 
-def _round_groups(seed: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for source, part in pdf.sort_values(["source", "doc_id"]).groupby("source", sort=True):
-            rows = zip(part["doc_id"].tolist(), part["n_tokens"].tolist(), part["copies"].tolist(), part["frac"].tolist())
-            out += [(source, *r) for r in _pivot(rows, seed, last)]
-        return pd.DataFrame(out, columns=["source", "doc_id", "n_tokens", "copies", "frac", "settled"])
-
-    return run
-
-
-def _round_partition(seed: int):
-    """As batches come: each source's open document is held over to the next batch."""
-
-    def run(batches):
-        held = pd.DataFrame(columns=["source", "doc_id", "n_tokens", "copies", "frac"])
-        work = _round_groups(seed, False)
-        for pdf in batches:
-            got = work(pd.concat([held, pdf]) if len(held) else pdf)
-            held = got.loc[~got["settled"].astype(bool), ["source", "doc_id", "n_tokens", "copies", "frac"]]
-            yield got[got["settled"].astype(bool)]
-        if len(held):
-            yield held.assign(settled=False)
+def _rounded(seed: int, last: bool):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "n_tokens"])
+        got = _pivot(zip(*(pdf[c].tolist() for c in ("doc_id", "n_tokens", "copies", "frac"))), seed, last)
+        return pd.DataFrame([(*key, *r) for r in got], columns=["source", "bucket", "doc_id", "n_tokens", "copies", "frac", "settled"])
 
     return run
 
@@ -92,50 +76,46 @@ def _round_partition(seed: int):
 def draw(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11) -> tuple[DataFrame, list]:
     """Copies of each document of ``sized`` (doc_id, source, n_tokens); and the plan by source."""
     wanted = collect_small(targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")))
-    sums = {r["source"]: r["size"] for r in sized.join(F.broadcast(targets.select("source").distinct()), "source").groupBy("source").agg(F.sum("n_tokens").alias("size")).collect()}
+    counted = sized.where("n_tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source").groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n")).collect()
+    sums, most = {r["source"]: r["size"] for r in counted}, max((r["n"] for r in counted), default=0)
+    buckets = {r["source"]: -(-r["n"] // BUCKET) for r in counted}
     plan = [(r["source"], float(r["share"] or 0), int(r["cap"] or 0), int(sums.get(r["source"]) or 0)) for r in wanted]
     if total_tokens is None:
         total_tokens = min((size * cap / share for _, share, cap, size in plan if share > 0 and size > 0), default=0)
     rate = {source: min(float(cap), share * total_tokens / size) for source, share, cap, size in plan if size > 0}
     spark = sized.sparkSession
-    rates = spark.createDataFrame([(s, r) for s, r in rate.items()], "source string, rate double")
+    rates = spark.createDataFrame([(s, r, buckets[s]) for s, r in rate.items()], "source string, rate double, buckets bigint")
     docs = sized.join(F.broadcast(rates), "source").where("n_tokens > 0 and rate > 0")  # as many rows as targets has sources
-    docs = docs.select("source", "doc_id", "n_tokens", F.floor("rate").alias("copies"), (F.col("rate") - F.floor("rate")).alias("frac"))
-    level = cut(docs.mapInPandas(_round_partition(seed), SCHEMA))
-    settled, left = [level.where("settled")], level.where("not settled")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.col("buckets")).alias("bucket")
+    left = docs.select("source", bucket, "doc_id", "n_tokens", F.floor("rate").alias("copies"), (F.col("rate") - F.floor("rate")).alias("frac"))
+    settled, width = [], max(1, -(-most // BUCKET))
     while True:
-        count = left.count()
-        tasks = -(-count // FAN_IN)
-        last = tasks <= 1
-        keyed = left.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, tasks // max(1, len(rate)) if not last else 1))))
-        level = cut(keyed.groupBy("source", "g").applyInPandas(_round_groups(seed, last), SCHEMA))
+        level = cut(left.groupBy("source", "bucket").applyInPandas(_rounded(seed, width == 1), SCHEMA))
         settled.append(level.where("settled"))
-        if last:
-            break
-        left = level.where("not settled")
-        if left.count() >= count:  # no more can be paired by groups: one open document a source
-            level = cut(left.groupBy("source").applyInPandas(_round_groups(seed, True), SCHEMA))
-            settled.append(level.where("settled"))
+        if width == 1:
             break
+        width = -(-width // FAN_IN)
+        left = level.where("not settled").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN)).drop("settled")
     drawn = settled[0]
     for part in settled[1:]:
         drawn = drawn.union(part)
     return drawn.where("copies > 0").select("doc_id", "source", "n_tokens", F.col("copies").cast("int").alias("copies")), plan
 
 
-def sizes_of(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``n_tokens`` of every document, written once."""
-    return cut(count_tokens(documents.select("doc_id", "source", "text")))
+def sizes_of(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``doc_id``, ``source``, ``n_tokens`` of the documents of target sources, written once; no other document is encoded."""
+    wanted = F.broadcast(targets.where("source is not null and target_share > 0").select("source").distinct())
+    return cut(count_tokens(documents.select("doc_id", "source", "text").join(wanted, "source", "left_semi")))
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens``, ``copies`` of the documents drawn."""
-    return draw(sizes_of(documents), targets, total_tokens, seed)[0]
+    return draw(sizes_of(documents, targets), targets, total_tokens, seed)[0]
 
 
 def shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 11) -> DataFrame:
     """The shares that ``mix`` reached, a row for each target source."""
-    drawn, plan = draw(sizes_of(documents), targets, total_tokens, seed)
+    drawn, plan = draw(sizes_of(documents, targets), targets, total_tokens, seed)
     by = drawn.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     goal = drawn.sparkSession.createDataFrame([(s, share, cap) for s, share, cap, _ in plan], "source string, target_share double, max_repeats int")
     total = by.agg(F.sum("tokens").alias("total"))
