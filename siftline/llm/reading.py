@@ -34,17 +34,21 @@ _ENDS = ("*/", "-->", '"""', "'''")
 _SIGN = re.compile(r"[{}\[\]=<>|\\;$@^~_&]")
 _CALL = re.compile(r"[(:/\d]")
 _CODE = re.compile(r"\w\(|\(\)|::|/\w+/|[A-Za-z]\d|\d[A-Za-z]{2}")
-#: To-do notes by their words; a note "fix ..." is short.
-_NOTES, _FIX_CHARS = ("TODO", "FIXME", "XXX", "HACK"), 48
+#: Marks of to-do notes (fixed values).
+_NOTES = ("TODO", "FIXME", "XXX", "HACK")
 #: Words of licence notices and banners of generated files, in lower case.
 _NOTICES = ("copyright", "licence", "license", "redistribut", "warrant", " liable", " liabilit", "trademark", "all rights", "permission is", "attribution", "spdx", "generated by", "generated from", "generated file", "do not edit", "autogenerated", "auto-generated", "machine-generated", "not be edited")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')]*\s+")
-#: Small words that running prose has and lists of names have not.
-_SMALL = frozenset("a an and are as at be because before but by can do for from has have if in into is it its many may most must not of on one or our should so some than that the then there they this to try two us was we when whereas which while who whose will with you your each every any all after insofar notwithstanding".split())
+#: Share of a grade's passages that hold a word, from which it counts as a common word of prose.
+COMMON = 0.25
 
 
-def prose_blocks(text: str) -> list[str]:
-    """Blocks of running prose, without marks of comments, notices, notes and code."""
+def prose_blocks(text: str, common: frozenset[str]) -> list[str]:
+    """Blocks of running prose, without marks of comments, notices, notes and code.
+
+    Prose is told from lists of names and from data by its share of ``common`` words, which are
+    learnt from the graded passages.
+    """
     blocks: list[str] = []
     held: list[str] = []
     fenced = False
@@ -58,7 +62,7 @@ def prose_blocks(text: str) -> list[str]:
             if any(n in low for n in _NOTICES):
                 kept = [s for s in kept if not any(n in s.lower() for n in _NOTICES)]
             words = WORD.findall(" ".join(kept))
-            if len(words) >= BLOCK_WORDS and any(c in block for c in ".?!") and sum(w.lower() in _SMALL for w in words) * 6 >= len(words):
+            if len(words) >= BLOCK_WORDS and any(c in block for c in ".?!") and sum(w.lower() in common for w in words) * 3 >= len(words):
                 blocks.append(" ".join(kept))
 
     for line in text.splitlines():
@@ -77,7 +81,7 @@ def prose_blocks(text: str) -> list[str]:
             bare = _CLOSE.sub("", bare)
         if "`" in bare:
             bare = _SEE.sub("", bare)
-        if fenced or not bare or _SIGN.search(bare) or (_CALL.search(bare) and _CODE.search(bare)) or bare.count(" ") * 12 < len(bare) - 24 or any(n in bare for n in _NOTES) or (len(bare) < _FIX_CHARS and bare[:4].lower() == "fix "):
+        if fenced or not bare or _SIGN.search(bare) or (_CALL.search(bare) and _CODE.search(bare)) or bare.count(" ") * 12 < len(bare) - 24 or any(n in bare for n in _NOTES):
             close()
             continue
         held.append(bare)
@@ -90,12 +94,16 @@ class Grader:
 
     def __init__(self, passages: list[tuple[str, int]]):
         by: dict[int, Counter] = {}
+        held: dict[int, Counter] = {}
         docs: Counter = Counter()
         for text, grade in passages:
             if text and grade is not None:
-                by.setdefault(int(grade), Counter()).update(w.lower() for w in WORD.findall(_SEE.sub("", text)))
+                words = [w.lower() for w in WORD.findall(_SEE.sub("", text))]
+                by.setdefault(int(grade), Counter()).update(words)
+                held.setdefault(int(grade), Counter()).update(set(words))
                 docs[int(grade)] += 1
         self.grades = sorted(by)
+        self.common = frozenset(w for g in by for w, n in held[g].items() if n >= COMMON * docs[g])
         vocabulary = sorted(set().union(*by.values())) if by else []
         size = len(vocabulary) + 1
         totals = {g: sum(c.values()) for g, c in by.items()}
@@ -108,8 +116,7 @@ class Grader:
             return None
         score = self.prior.copy()
         for word, n in words.items():
-            if (w := self.weights.get(word)) is not None:
-                score += n * w
+            score += n * self.weights.get(word, self.unseen)
         return self.grades[int(score.argmax())]
 
 
@@ -126,9 +133,9 @@ def levels(documents: DataFrame, refs: DataFrame, least_words: int = LEAST_WORDS
         for batch in batches:
             ids, grades, counts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or len(text) < 2 * least_words:
+                if not text or len(text) < 2 * least_words - 1:  # a word takes a letter and a blank
                     continue
-                words = [w.lower() for block in prose_blocks(text) for w in WORD.findall(block)]
+                words = [w.lower() for block in prose_blocks(text, grader.common) for w in WORD.findall(block)]
                 if len(words) >= least_words and (g := grader.grade(Counter(words))) is not None:
                     ids.append(doc)
                     grades.append(g)

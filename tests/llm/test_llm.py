@@ -171,9 +171,12 @@ def test_ids_equal_the_library(spark):
 # mixing
 
 
-def test_mix_meets_shares(spark):
+@pytest.mark.parametrize("bucket", [100, 50_000])
+def test_mix_meets_shares(spark, bucket, monkeypatch):
     rng = random.Random(3)
     docs = [(i, rng.choice("aaaaaabbc"), rng.randint(1, 400)) for i in range(3000)] + [(5000, None, 10), (5001, "unlisted", 10), (5002, "a", 0)]
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
     sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").repartition(9)
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4), ("none", 0.0, 9)], "source string, target_share double, max_repeats int")
     drawn, plan = mixing.draw(sized, targets)
@@ -184,7 +187,7 @@ def test_mix_meets_shares(spark):
         assert abs(sum(r["n_tokens"] * r["copies"] for r in mine) - share * total) <= 400
         assert all(1 <= r["copies"] <= cap for r in mine)
     assert len({r["doc_id"] for r in got}) == len(got) and not {5000, 5001, 5002} & {r["doc_id"] for r in got}
-    assert rows(mixing.draw(sized, targets)[0]) == rows(drawn)
+    assert rows(mixing.draw(sized, targets)[0]) == rows(mixing.draw(sized.repartition(3), targets)[0]) == rows(drawn)
     small = mixing.draw(sized, targets, total_tokens=1000)[0].selectExpr("sum(n_tokens * copies) t").first()[0]
     assert abs(small - 1000) <= 1200
 
