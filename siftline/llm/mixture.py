@@ -1,13 +1,12 @@
 """Similarity clusters of numeric records under a Gaussian mixture.
 
-``fit`` standardises the features, reduces them to the principal axes and fits mixtures of several
-sizes by expectation-maximisation over all rows, with a ridge on every covariance; the size with
-the least Bayesian information criterion stays. ``chosen`` doubles the size until the criterion
-falls no more. ``clusters`` assigns each record to its likeliest
-component and describes each by size and members of highest density. ``neighbour_groups`` uses the
-mixture to divide the records for an exact rule: a record is compared inside its own component and
-inside each other one that could be the likeliest for a neighbour, by a bound on how far the log
-densities can change within a neighbour's distance; so no pair of neighbours is lost.
+``fits`` standardises the features, reduces them to the principal axes and fits mixtures of several
+sizes by expectation-maximisation over all rows, with a ridge on every covariance. ``chosen``
+doubles the size until the Bayesian information criterion rises and takes the size where it was
+least. ``clusters`` assigns each record to its likeliest component and describes each by size and
+members of highest density. ``neighbour_groups`` gives the groups of an exact rule of neighbours,
+which no mixture can give; ``described_groups`` tells each one's size and its members of highest
+density under the mixture.
 
 Records with a null, NaN or -99 feature take no part; repeated ids count once (their smallest
 values); an empty table gives no rows.
@@ -26,10 +25,10 @@ from pyspark.sql import functions as F
 from siftline.llm.components import components
 from siftline.runtime import cut
 
-#: Sizes of mixture that ``fit`` compares, its EM rounds at most, tolerance a row, ridge, rows that seed the means, variance kept.
-SIZES, ROUNDS, TOLERANCE, RIDGE, SEED_ROWS, KEPT_VARIANCE = (4, 8, 16), 20, 1e-3, 1e-3, 2048, 0.999
-#: Rounds by which EM has come to its tolerance, cells of a matrix of densities.
-LIMIT, CELLS = 2000, 4_000_000
+#: Sizes that are fitted first, tolerance of a round a row, ridge, rows that seed the means, variance kept.
+SIZES, TOLERANCE, RIDGE, SEED_ROWS, KEPT_VARIANCE = (4, 8, 16, 32), 1e-3, 1e-3, 2048, 0.999
+#: Rounds of EM at most (it comes to its tolerance in fewer), cells of a matrix of densities.
+LIMIT, CELLS = 400, 4_000_000
 FEATURES = ("number_of_sections", "sec_entropy_text", "size_code", "number_of_import_symbols")
 MISSING = -99
 
@@ -48,22 +47,15 @@ class Mixture:
     def reduce(self, x: np.ndarray) -> np.ndarray:
         return (x - self.centre) @ self.axes
 
-    def log_density(self, p: np.ndarray) -> np.ndarray:
-        """Log of weight times density, one column a component."""
-        out = np.empty((len(p), len(self.means)))
-        for k, (m, prec, off) in enumerate(zip(self.means, self.precisions, self.offsets)):
-            d = p - m
-            out[:, k] = off - 0.5 * np.einsum("ij,jk,ik->i", d, prec, d)
-        return out
+    def log_density(self, p: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+        """Log of weight times density, one column a component, by products of matrices."""
+        linear = np.einsum("kij,kj->ki", self.precisions, self.means)
+        squares = _squares(p) if squares is None else squares
+        return self.offsets - 0.5 * np.einsum("ki,ki->k", linear, self.means) + p @ linear.T - 0.5 * squares @ self.precisions.reshape(len(self.means), -1).T
 
-    def possible(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The likeliest component, and which ones may be so for any point within ``reach``."""
-        p, eps = self.reduce(x), np.abs(self.axes).T @ reach
-        f, slack = self.log_density(p), np.empty((len(p), len(self.means)))
-        for k, (m, prec) in enumerate(zip(self.means, self.precisions)):
-            slack[:, k] = np.abs((p - m) @ prec) @ eps + 0.5 * eps @ np.abs(prec) @ eps
-        least = (f - slack).max(axis=1, keepdims=True) if len(p) else f
-        return f.argmax(axis=1) if len(p) else np.zeros(0, int), f + slack >= least - 1e-9
+
+def _squares(p: np.ndarray) -> np.ndarray:
+    return (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
 
 
 def samples_of(df: DataFrame, id_col: str = "sample_id", features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -102,29 +94,16 @@ def _with(base: Mixture, weights: np.ndarray, means: np.ndarray, covs: np.ndarra
     return Mixture(base.centre, base.axes, means, precs, offs)
 
 
-def _dense(m: Mixture, p: np.ndarray) -> np.ndarray:
-    """``log_density`` by one product of matrices, for many components."""
-    linear = np.einsum("kij,kj->ki", m.precisions, m.means)
-    square = (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
-    return m.offsets - 0.5 * np.einsum("ki,ki->k", linear, m.means) + p @ linear.T - 0.5 * square @ m.precisions.reshape(len(m.means), -1).T
-
-
-def fit(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), sizes: tuple[int, ...] = SIZES, seed: int = 7) -> Mixture | None:
-    """Fit on all rows; every round is one pass that returns sums of fixed size. None if no rows."""
-    models = fits(x, names, sizes, seed, ROUNDS)
-    return min(models, key=lambda m: m.bic) if models else None
-
-
 def chosen(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), seed: int = 7) -> Mixture | None:
-    """The mixture of least criterion among 4, 8, 16, 32, 64 .. components, each fitted to the tolerance, until two doublings in turn bring no lesser one."""
-    seen, sizes = [], (4, 8, 16, 32)
+    """The mixture of least criterion among 4, 8, 16, 32, 64 .. components, each fitted to the tolerance, doubled until the criterion rises. None if no rows."""
+    seen, sizes = [], SIZES
     while True:
         models = fits(x, names, sizes, seed, LIMIT)
         seen += models
         if not seen:
             return None
         best = min(seen, key=lambda m: m.bic)
-        if len(models) < len(sizes) or len(seen[-1].means) < sizes[-1] or all(m is not best for m in seen[-2:]):  # the first: a component for every row
+        if len(models) < len(sizes) or len(seen[-1].means) < sizes[-1] or best is not seen[-1]:  # the first: a component for every row
             return best
         sizes = (2 * sizes[-1],)
 
@@ -156,11 +135,12 @@ def fits(x: DataFrame, names: tuple[str, ...], sizes: tuple[int, ...], seed: int
             like = np.zeros(len(models))
             for batch in batches:
                 whole = models[0].reduce(_matrix(batch, names))
-                for i, m in enumerate(models):
-                    step = max(1, CELLS // len(m.means))
-                    for at in range(0, len(whole), step):
-                        p = whole[at : at + step]
-                        f = m.log_density(p) if len(m.means) <= max(SIZES) else _dense(m, p)
+                step = max(1, CELLS // max(len(m.means) for m in models))
+                for at in range(0, len(whole), step):
+                    p = whole[at : at + step]
+                    squares = _squares(p)
+                    for i, m in enumerate(models):
+                        f = m.log_density(p, squares)
                         top = f.max(axis=1, keepdims=True)
                         e = np.exp(f - top)
                         s = e.sum(axis=1, keepdims=True)
@@ -168,7 +148,7 @@ def fits(x: DataFrame, names: tuple[str, ...], sizes: tuple[int, ...], seed: int
                         resp = e / s
                         total[i][:, 0] += resp.sum(axis=0)
                         total[i][:, 1 : 1 + r] += resp.T @ p
-                        total[i][:, 1 + r :] += resp.T @ (p[:, :, None] * p[:, None, :]).reshape(len(p), r * r)
+                        total[i][:, 1 + r :] += resp.T @ squares
             flat = np.concatenate([like, *(t.ravel() for t in total)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
 
@@ -212,17 +192,31 @@ def scores(x: DataFrame, model: Mixture, names: tuple[str, ...] = ("x0", "x1", "
     return x.mapInArrow(run, "id bigint, component int, log_density double")
 
 
-def clusters(df: DataFrame, typical: int = 5) -> DataFrame:
-    """``component``, ``size``, ``typical`` (ids of highest density, densest first)."""
+def _described(scored: DataFrame, key: str, typical: int) -> DataFrame:
+    """``key``, ``size``, ``typical`` (ids of highest density, densest first)."""
+    top = Window.partitionBy(key).orderBy(F.desc("log_density"), "id")  # limited before the shuffle
+    best = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= typical)
+    best = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("typical"))
+    return scored.groupBy(key).agg(F.count("*").alias("size")).join(best, key).select(key, "size", "typical")
+
+
+def _scored(df: DataFrame) -> DataFrame:
     x = cut(vectors(samples_of(df)))
     model = chosen(x)
     if model is None:
-        return x.groupBy(F.lit(0).alias("component")).agg(F.count("*").alias("size"), F.collect_list("id").alias("typical"))
-    scored = cut(scores(x, model))
-    top = Window.partitionBy("component").orderBy(F.desc("log_density"), "id")
-    best = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= typical)
-    best = best.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("typical"))
-    return scored.groupBy("component").agg(F.count("*").alias("size")).join(best, "component").select("component", "size", "typical")
+        return x.select("id", F.lit(0).alias("component"), F.lit(0.0).alias("log_density"))
+    return cut(scores(x, model))
+
+
+def clusters(df: DataFrame, typical: int = 5) -> DataFrame:
+    """``component``, ``size``, ``typical`` (ids of highest density, densest first)."""
+    return _described(_scored(df), "component", typical)
+
+
+def described_groups(df: DataFrame, typical: int = 5) -> DataFrame:
+    """``group_id``, ``size``, ``typical`` of the groups of ``neighbour_groups``; density is that of the whole mixture."""
+    groups = neighbour_groups(df).select("group_id", F.col("sample_id").alias("id"))
+    return _described(cut(groups.join(_scored(df), "id")), "group_id", typical)
 
 
 def neighbour_groups(df: DataFrame, entropy: float = 0.05, size_percent: int = 3, imports: int = 2, least: int = 5) -> DataFrame:
@@ -242,21 +236,7 @@ def neighbour_groups(df: DataFrame, entropy: float = 0.05, size_percent: int = 3
     s = s.withColumn("ce", F.floor(F.col("e") / micro)).withColumn("cm", F.floor(F.col("m") / (imports + 1)))
     s = cut(s.withColumn("cz", F.when(F.col("z") > 0, F.floor(F.log(F.col("z").cast("double")) / width)).otherwise(F.col("z") - F.lit(1 << 40))))
     key = ["cn", "ce", "cz", "cm"]
-    cells = s.groupBy(*key).agg(F.min("id").alias("cid"), F.count("*").alias("n"))
-    model = fit(cut(s.select("id", F.col("cn").cast("double").alias("x0"), (F.col("e") / 1e6).alias("x1"), F.log(F.greatest("z", F.lit(1)).cast("double")).alias("x2"), F.col("m").cast("double").alias("x3"))))
-    if model is None:
-        return s.select(F.col("id").alias("group_id"), F.col("id").alias("sample_id"))
-    reach = np.array([0.0, entropy, width, imports + 1.0])
-
-    def blocks(batches):
-        for b in batches:
-            cn, ce, cz, cm = (b.column(n).to_numpy().astype(float) for n in key)
-            x = np.column_stack([cn, (ce + 0.5) * entropy, np.where(cz > 0, (cz + 0.5) * width, 0.5 * width), (cm + 0.5) * (imports + 1)])
-            home, may = model.possible(x, reach)
-            lists = pa.array([np.flatnonzero(row).tolist() for row in may], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in [*key, "cid", "n"]), pa.array(home, pa.int32()), lists], [*key, "cid", "n", "home", "may"])
-
-    cells = cut(cells.mapInArrow(blocks, "cn bigint, ce bigint, cz bigint, cm bigint, cid bigint, n bigint, home int, may array<int>"))
+    cells = cut(s.groupBy(*key).agg(F.min("id").alias("cid"), F.count("*").alias("n")))
     # the front of a cell: for each count of imports and each pair of directions, samples that no other one surpasses
     edge = s.groupBy(*key, "m", "e").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     fronts = []
@@ -267,14 +247,14 @@ def neighbour_groups(df: DataFrame, entropy: float = 0.05, size_percent: int = 3
             front = edge.withColumn("v", value).withColumn("top", F.max("v").over(before)).where("top is null or v > top")
             fronts.append(front.select(*key, "m", "e", F.abs("v").alias("z") if sz > 0 else (-F.col("v")).alias("z"), F.lit(se).alias("se"), F.lit(sz).alias("sz")))
     front = fronts[0].union(fronts[1]).union(fronts[2]).union(fronts[3]).join(cells, key)
-    front = cut(front.select("cid", "home", "may", *key, "m", "e", "z", "se", "sz"))
+    front = cut(front.select("cid", *key, "m", "e", "z", "se", "sz"))
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in steps])).alias("s")
     sign = lambda c: F.when(F.col(c) >= 0, 1).otherwise(-1)
-    a = front.select("cid", "may", *key, "m", "e", "z", "se", "sz", step).where((F.col("se") == sign("s.i")) & (F.col("sz") == sign("s.j")))
-    a = a.select(F.col("cid").alias("a"), F.explode("may").alias("home"), "cn", (F.col("ce") + F.col("s.i")).alias("ce"), (F.col("cz") + F.col("s.j")).alias("cz"), (F.col("cm") + F.col("s.k")).alias("cm"), (-F.col("se")).alias("se"), (-F.col("sz")).alias("sz"), F.col("m").alias("ma"), F.col("e").alias("ea"), F.col("z").alias("za"))
-    b = front.select(F.col("cid").alias("b"), "home", *key, "se", "sz", F.col("m").alias("mb"), F.col("e").alias("eb"), F.col("z").alias("zb"))
-    links = a.join(b, ["home", *key, "se", "sz"]).where((F.abs(F.col("ea") - F.col("eb")) <= micro) & (100 * F.abs(F.col("za") - F.col("zb")) <= size_percent * F.greatest("za", "zb")) & (F.abs(F.col("ma") - F.col("mb")) <= imports))
+    a = front.select("cid", *key, "m", "e", "z", "se", "sz", step).where((F.col("se") == sign("s.i")) & (F.col("sz") == sign("s.j")))
+    a = a.select(F.col("cid").alias("a"), "cn", (F.col("ce") + F.col("s.i")).alias("ce"), (F.col("cz") + F.col("s.j")).alias("cz"), (F.col("cm") + F.col("s.k")).alias("cm"), (-F.col("se")).alias("se"), (-F.col("sz")).alias("sz"), F.col("m").alias("ma"), F.col("e").alias("ea"), F.col("z").alias("za"))
+    b = front.select(F.col("cid").alias("b"), *key, "se", "sz", F.col("m").alias("mb"), F.col("e").alias("eb"), F.col("z").alias("zb"))
+    links = a.join(b, [*key, "se", "sz"]).where((F.abs(F.col("ea") - F.col("eb")) <= micro) & (100 * F.abs(F.col("za") - F.col("zb")) <= size_percent * F.greatest("za", "zb")) & (F.abs(F.col("ma") - F.col("mb")) <= imports))
     groups = components(links.select("a", "b").distinct())
     cells = cells.join(groups, F.col("cid") == F.col("record_id"), "left").select(*key, "n", F.coalesce("group_id", "cid").alias("group_id"))
     large = cells.groupBy("group_id").agg(F.sum("n").alias("total")).where(F.col("total") >= least)

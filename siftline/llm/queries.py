@@ -18,6 +18,10 @@ def p2_clusters(spark, d):
     return mixture.clusters(table(spark, d, "pe_features"))
 
 
+def p2_groups(spark, d):
+    return mixture.described_groups(table(spark, d, "pe_features"))
+
+
 def p4_found(spark, d):
     return cooccur.pairs(cooccur.mdl_items(table(spark, d, "mdl_data"))).select("item_a", "item_b")
 
@@ -46,7 +50,7 @@ def p10_found(spark, d):
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_refs")).select("doc_id", "grade")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clusters, p4_found, p4_lift, p5_found, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clusters, p2_groups, p4_found, p4_lift, p5_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 _VALUES = "list_sort(list_distinct(list_filter(list_transform({0}, lambda x: lower(trim(x))), lambda x: x is not null and x <> '')))"
 _P4 = r"""

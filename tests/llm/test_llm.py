@@ -87,6 +87,11 @@ def test_neighbour_groups_match_brute_force(spark):
     want = sorted((g, x) for g, xs in groups.items() if len(xs) >= 5 for x in xs)
     dirt = [(1000, None, 1.0, 5, 5, 1), (1001, 2, float("nan"), 5, 5, 1), (1002, 2, 1.0, -99, 5, 1), (None, 2, 1.0, 5, 5, 1), data[0]]
     assert rows(mixture.neighbour_groups(samples(spark, data + dirt))) == want
+    described = {r["group_id"]: r for r in mixture.described_groups(samples(spark, data + dirt)).collect()}
+    for g in {g for g, _ in want}:
+        members = {x for h, x in want if h == g}
+        assert described[g]["size"] == len(members) and set(described[g]["typical"]) <= members and len(set(described[g]["typical"])) == 5
+    assert described.keys() == {g for g, _ in want}
     found = mixture.clusters(samples(spark, data + dirt)).collect()
     assert sum(r["size"] for r in found) == 400 and all(1 <= len(r["typical"]) <= 5 for r in found)
 
