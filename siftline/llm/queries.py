@@ -10,6 +10,18 @@ def p1_found(spark, d):
     return set_join.alike_records(*(table(spark, d, t) for t in ("syslog", "pe_features", "known_packers")))
 
 
+def _classes(spark, d):
+    return set_join.alike_classes(*(table(spark, d, t) for t in ("syslog", "pe_features", "known_packers")))
+
+
+def p1_class_pairs(spark, d):
+    return _classes(spark, d)[0]
+
+
+def p1_members(spark, d):
+    return _classes(spark, d)[1]
+
+
 def p2_found(spark, d):
     return mixture.neighbour_groups(table(spark, d, "pe_features"))
 
@@ -50,7 +62,7 @@ def p10_found(spark, d):
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_refs")).select("doc_id", "grade")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clusters, p2_groups, p4_found, p4_lift, p5_found, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_class_pairs, p1_members, p2_found, p2_clusters, p2_groups, p4_found, p4_lift, p5_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 _VALUES = "list_sort(list_distinct(list_filter(list_transform({0}, lambda x: lower(trim(x))), lambda x: x is not null and x <> '')))"
 _P4 = r"""

@@ -34,8 +34,9 @@ def norm(values):
     return {v.strip().lower() for v in values or [] if v and v.strip()}
 
 
-@pytest.mark.parametrize("threshold, num, den", [("0.8", 4, 5), ("0.5", 1, 2), ("1", 1, 1)])
-def test_set_pairs_match_brute_force(spark, threshold, num, den):
+@pytest.mark.parametrize("threshold, num, den, group", [("0.8", 4, 5, 2048), ("0.8", 4, 5, 2), ("0.5", 1, 2, 3), ("1", 1, 1, 2048)])
+def test_set_pairs_match_brute_force(spark, threshold, num, den, group, monkeypatch):
+    monkeypatch.setattr(set_join, "GROUP", group)
     rng = random.Random(4)
     data = []
     for i in range(160):
@@ -52,6 +53,11 @@ def test_set_pairs_match_brute_force(spark, threshold, num, den):
     alike = lambda a, b: len(a & b) * den >= num * max(len(a), len(b))
     want = sorted((a, b) for a in sets for b in sets if a < b and min(len(sets[a]), len(sets[b])) >= 2 and alike(sets[a], sets[b]))
     assert rows(set_join.set_pairs(df, "id", "vals", threshold, least=2)) == want
+    found, classes = set_join.class_pairs(df, "id", "vals", threshold, least=2), defaultdict(list)
+    for _, c, i in found.members.select("side", "cid", "id").collect():
+        classes[c].append(i)
+    linked = {tuple(sorted((x, y))) for a, b in found.pairs.collect() for x in classes[a] for y in classes[b]}
+    assert sorted(linked | {(x, y) for xs in classes.values() for x in xs for y in xs if x < y}) == want
     right = df.where("id < 60").selectExpr("id + 3 as rid", "vals as rv", "1 as toks")
     other = {i + 3: s for i, s in sets.items() if i < 60}
     want = sorted((a, b) for a in sets for b in other if alike(sets[a], other[b]))
