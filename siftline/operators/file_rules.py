@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators.yara import MACHO_COMMANDS, PE_FILE_HEADER, PE_OPTIONAL, Rule, little_endian, masked_header
+from siftline.operators.yara import MACHO_COMMANDS, PE_FILE_HEADER, PE_OPTIONAL, Rule, cluster_rule, little_endian, masked_header
 from siftline.sources.binary import MACHO_MAGICS, MACHO_NAMES, Pe
 
 PRINTABLE = re.compile(rb"[\x09-\x0d\x20-\x7e]{8,}")
@@ -51,14 +51,13 @@ def pe_rule(data: bytes, name: str, parts: tuple[str, ...] = PE_PARTS, wanted: s
         for i, (_, va, vsize, _, _) in enumerate(pe.sections[:3]):
             rule.offset(f"Section{i}VirtualSize", little_endian(vsize, 4), table + 40 * i + 8)
             rule.offset(f"Section{i}VirtualAddress", little_endian(va, 4), table + 40 * i + 12)
-    named = [s.split(":name=", 1) for s in pe.imports if ":name=" in s]
+    named = [s.split(" bound=", 1)[0].split(":name=", 1) for s in pe.imports if ":name=" in s]
     if "imports" in parts:
         rule.group("import_string", sorted({x for pair in named for x in pair if x}))
     if "exports" in parts:
         rule.group("export_string", sorted(set(pe.exports)))
     if "file_info" in parts:
-        words = ("CompanyName", "FileDescription", "FileVersion", "InternalName", "LegalCopyright", "OriginalFilename", "ProductName", "ProductVersion")
-        rule.group("file_info_string", [w.encode("utf-16-le").hex() for w in words if w.encode("utf-16-le") in data], "hex")
+        rule.group("file_info_string", [x.encode("utf-16-le").hex() for pair in pe.version_strings() for x in pair if x], "hex")
     if "strings" in parts:
         ignored = {x for pair in named for x in pair} | set(pe.exports) | {s[0] for s in pe.sections}
         found = dict.fromkeys(m.group() for m in PRINTABLE.finditer(data))
@@ -70,13 +69,13 @@ def _commands(data: bytes):
     """(order, offset, command, length, start) of each load command of each architecture."""
     starts = [0]
     if data[:4] == b"\xca\xfe\xba\xbe":
-        starts = [struct.unpack_from(">I", data, 16 + 20 * i)[0] for i in range(min(64, struct.unpack_from(">I", data, 4)[0]))]
+        starts = [struct.unpack_from(">I", data, 16 + 20 * i)[0] for i in range(struct.unpack_from(">I", data, 4)[0]) if 28 + 20 * i <= len(data)]
     for start in starts:
         order, size = MACHO_MAGICS.get(struct.unpack_from("<I", data, start)[0], ("", 0))
         if not order:
             raise ValueError("no Mach-O magic")
         at = start + size
-        for _ in range(min(4096, struct.unpack_from(order + "I", data, start + 16)[0])):
+        for _ in range(struct.unpack_from(order + "I", data, start + 16)[0]):
             if at + 8 > len(data):
                 break
             cmd, length = struct.unpack_from(order + "II", data, at)
@@ -84,6 +83,30 @@ def _commands(data: bytes):
             at += max(8, length)
 
 
+def macho_strings(data: bytes) -> tuple[list[str], list[str]]:
+    """Distinct strings of the symbol tables, and literals of the constant pool (sections of C strings)."""
+    symbols, literals = set(), set()
+    for order, at, cmd, length, start in _commands(data):
+        label = MACHO_NAMES.get(cmd)
+        if label == "LC_SYMTAB" and at + 24 <= len(data):
+            where, size = struct.unpack_from(order + "II", data, at + 16)
+            symbols.update(data[start + where : start + where + size].split(b"\0"))
+        elif label in ("LC_SEGMENT", "LC_SEGMENT_64"):
+            wide = label.endswith("64")
+            first, step, code = at + (72 if wide else 56), 80 if wide else 68, "Q" if wide else "I"
+            for i in range(struct.unpack_from(order + "I", data, at + (64 if wide else 48))[0]):
+                section = first + step * i
+                if section + step > min(len(data), at + length):
+                    break
+                (size,) = struct.unpack_from(order + code, data, section + (40 if wide else 36))
+                (where,) = struct.unpack_from(order + "I", data, section + (48 if wide else 40))
+                (flags,) = struct.unpack_from(order + "I", data, section + (64 if wide else 56))
+                if flags & 0xFF == 2:  # the type of C-string literals
+                    literals.update(data[start + where : start + where + size].split(b"\0"))
+    fit = lambda found: sorted(x.decode("ascii") for x in found if CONSTANT.fullmatch(x))
+    return fit(symbols), fit(literals)
+
+
 def macho_rule(data: bytes, name: str) -> Rule:
     """Headers, tables, counts of commands, section names, minimum version and constant strings."""
     rule, counts, sections = Rule(name), {}, []
@@ -114,7 +137,9 @@ def macho_rule(data: bytes, name: str) -> Rule:
     for (label, text), n in counts.items():
         rule.part(f"{label}_count", text, count=n)
     rule.group("section", sections, "hex")
-    rule.group("symboltable", sorted({m.decode("ascii") for m in CONSTANT.findall(data)}))
+    symbols, literals = macho_strings(data)
+    rule.group("symboltable", symbols)
+    rule.group("constant_pool", literals)
     return rule
 
 
@@ -144,3 +169,36 @@ def file_rules(files: DataFrame, kind: str = "pe") -> DataFrame:
             yield pd.DataFrame({"name": pdf["sha"], "text": [make(c, n).text() for c, n in zip(pdf["content"], pdf["sha"])]})
 
     return files.select(F.concat(F.lit("f"), F.sha2("content", 256)).alias("sha"), "content").mapInPandas(run, "name string, text string")
+
+
+def cluster_rules(labels: DataFrame, extracted: DataFrame, kind: str = "pe") -> DataFrame:
+    """``cluster, name, text`` of each cluster of files; ``labels`` is ``filename, cluster``, ``extracted`` the readers' features.
+
+    A feature that all files of a cluster share is a constant. Of PE fields that vary, the hex digits
+    that are the same in all files stay: bits that ``bit_and`` and ``bit_or`` agree on. A feature that
+    a file of the cluster lacks, and files without a cluster, take no part.
+    """
+    known = labels.where("cluster is not null").select("filename", F.col("cluster").cast("bigint").alias("cluster"))
+    each = known.join(extracted.select("filename", F.explode("features").alias("k", "v")), "filename").withColumn("v", F.col("v").cast("bigint"))
+    seen = each.groupBy("cluster", "k").agg(F.count("*").alias("n"), F.bit_and("v").alias("low"), F.bit_or("v").alias("high"))
+    shared = seen.join(known.groupBy("cluster").agg(F.count("*").alias("n")), ["cluster", "n"])
+    listed = shared.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high"))).alias("fields"))
+
+    def text(cluster: int, fields) -> tuple[int, str, str]:
+        name = f"cluster_{cluster}"
+        constants = {f["k"]: int(f["low"]) for f in fields if f["low"] == f["high"]}
+        if kind != "pe":
+            return cluster, name, macho_cluster_rule(name, constants).text()
+        magic, masks = constants.get("magic", 0x10B), {}
+        widths = dict(PE_FILE_HEADER) | dict(PE_OPTIONAL.get(magic, PE_OPTIONAL[0x10B]))
+        for f in fields:
+            if f["k"] in widths and f["low"] != f["high"]:
+                low, high = (little_endian(int(f[c]) & (256 ** widths[f["k"]] - 1), widths[f["k"]]) for c in ("low", "high"))
+                masks[f["k"]] = "".join(a if a == b else "?" for a, b in zip(low, high))
+        return cluster, name, cluster_rule(name, constants.get("lfanew"), magic, constants, masks).text()
+
+    def run(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame([text(c, f) for c, f in zip(pdf["cluster"], pdf["fields"])], columns=["cluster", "name", "text"])
+
+    return listed.mapInPandas(run, "cluster bigint, name string, text string")

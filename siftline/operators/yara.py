@@ -116,14 +116,15 @@ def little_endian(value: int, width: int) -> str:
     return int(value).to_bytes(width, "little").hex()
 
 
-def cluster_rule(name: str, lfanew: int, magic: int, constants: dict[str, int], masks: dict[str, str]) -> Rule:
-    """A rule for a cluster of PE files: constant fields by value, varying ones by nibble mask."""
+def cluster_rule(name: str, lfanew: int | None, magic: int, constants: dict[str, int], masks: dict[str, str]) -> Rule:
+    """A rule for a cluster of PE files: constant fields by value, varying ones by nibble mask; headers stand anywhere if ``lfanew`` is None."""
     rule, layout = Rule(name), PE_OPTIONAL[0x20B if magic == 0x20B else 0x10B]
     widths = dict(layout) | dict(PE_FILE_HEADER)
     values = {n: little_endian(v, widths[n]) for n, v in constants.items() if n in widths and v >= 0} | {n: m for n, m in masks.items() if n in widths}
-    for title, fields, at in (("file_header", PE_FILE_HEADER, lfanew + 4), ("optional_header", layout, lfanew + 24)):
+    for title, fields, at in (("file_header", PE_FILE_HEADER, 4), ("optional_header", layout, 24)):
+        at = None if lfanew is None else lfanew + at
         if text := masked_header(fields, values):
-            rule.offset(title, text, at)
+            rule.part(title, text) if at is None else rule.offset(title, text, at)
     return rule
 
 

@@ -219,3 +219,77 @@ def test_headers_batch_and_stream(spark, tmp_path):
 
 def test_small_helpers():
     assert binary.byte_entropy(b"") == 0.0 and math.isclose(binary.byte_entropy(b"ab"), 1.0)
+
+
+def rich_image(stamp=77):
+    """A PE image with imports (one bound), exports, a bound library and two resources."""
+    optional = bytearray(224)
+    struct.pack_into("<HBBIII", optional, 0, 0x10B, 9, 1, 512, 512, 0)
+    struct.pack_into("<I", optional, 92, 16)
+    for i, rva, size in ((0, 0x1000, 40), (1, 0x1080, 40), (2, 0x1200, 200), (11, 0x1C0, 16)):
+        struct.pack_into("<II", optional, 96 + 8 * i, rva, size)
+    head = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 1, stamp, 0, 0, 224, 0x102)
+    table = struct.pack("<8sIIII16x", b".rodata", 2048, 0x1000, 2048, 512)
+    body = bytearray(2048)
+    struct.pack_into("<IIIIII", body, 16, 5, 2, 1, 0x1030, 0x1038, 0x103C)  # one name, one ordinal
+    struct.pack_into("<IIIH", body, 0x30, 0x1111, 0x2222, 0x1040, 0)
+    body[0x40:0x46] = b"DoIt\0\0"
+    struct.pack_into("<IIIII", body, 0x80, 0x10B0, 0, 0, 0x10D0, 0x10C0)
+    struct.pack_into("<III", body, 0xB0, 0x10E0, 0x80000007, 0)
+    struct.pack_into("<III", body, 0xC0, 0x7777, 0x80000007, 0)
+    body[0xD0:0xD7] = b"My.DLL\0"
+    body[0xE2:0xE8] = b"Call\0\0"
+
+    def node(key, value=b"", children=b""):
+        name = key.encode("utf-16-le") + b"\0\0"
+        pad = lambda x: x + bytes(-len(x) % 4)
+        text = pad(pad(bytes(6) + name) + value) + children
+        return pad(struct.pack("<HHH", len(text), len(value), 1) + text[6:])
+
+    string = node("CompanyName", "Öst AG\0".encode("utf-16-le"))
+    version = node("VS_VERSION_INFO", bytes(52), node("StringFileInfo", b"", node("040904b0", b"", string)))
+    directory = lambda *entries: struct.pack("<12xHH", 0, len(entries)) + b"".join(struct.pack("<II", *e) for e in entries)
+    sub = 1 << 31
+    tree = directory((3, 32 | sub), (16, 56 | sub)) + directory((1, 80 | sub)) + directory((1, 104 | sub)) + directory((0x409, 128)) + directory((0x407, 144))
+    tree += struct.pack("<IIII", 0x1700, 8, 0, 0) + struct.pack("<IIII", 0x1400, len(version), 0, 0)
+    body[0x200 : 0x200 + len(tree)] = tree
+    body[0x400 : 0x400 + len(version)] = version
+    data = bytearray((head + bytes(optional) + table).ljust(512, b"\0") + bytes(body))
+    struct.pack_into("<IHH8x", data, 0x1C0, 9, 16, 1)
+    return bytes(data)
+
+
+def test_whole_pe_features():
+    pe = binary.Pe(rich_image())
+    f = pe.dense()
+    assert f["iat_rva"] == 0x1080 and f["std_section_names"] == 1 and f["datadir_image_directory_entry_export_size"] == 40
+    assert (f["number_of_bound_imports"], f["number_of_bound_import_symbols"], f["number_of_export_symbols"], f["number_of_import_symbols"]) == (1, 1, 2, 2)
+    assert sorted(pe.imports) == [f"my.dll:name=call bound={0x7777}", "my.dll:ordinal=7"] and pe.exported == {"name=doit", "ordinal=6"}
+    c = pe.clustering()
+    assert (c["resource 0 rva"], c["resource 0 size"], c["resource 0 lang"], c["resource 1 rva"], c["resource 1 lang"], c["lfanew"]) == (0x1700, 8, 9, 0x1400, 7, 64)
+    assert pe.version_strings() == [("CompanyName", "Öst AG")] and not pe.warnings
+    data = bytearray(rich_image() + b"x")
+    words = [int.from_bytes(bytes(data)[i : i + 2], "little") for i in range(0, len(data), 2) if i not in (152, 154)]
+    total = sum(words)
+    while total > 0xFFFF:
+        total = (total & 0xFFFF) + (total >> 16)
+    assert binary.Pe(bytes(data)).dense()["generated_check_sum"] == total + len(data)
+    cut = binary.Pe(rich_image()[:900])
+    assert cut.dense()["pe_warnings"] == 1 and "beyond the end" in cut.warnings[0]
+    assert "Öst AG".encode("utf-16-le").hex(" ") in file_rules.pe_rule(rich_image(), "x").text()
+
+
+def test_macho_strings_and_cluster_rules(spark):
+    pool, names = b"literal_one\0ab\0with space\0", b"\0_symbol_a\0_b\0"
+    segment = struct.pack("<II16sQQQQIIII", 0x19, 152, b"__TEXT", 0, 0, 0, 0, 7, 7, 1, 0) + struct.pack("<16s16sQQIIIIIIII", b"__cstring", b"__TEXT", 0, len(pool), 208, 0, 0, 0, 2, 0, 0, 0)
+    symtab = struct.pack("<IIIIII", 2, 24, 0, 2, 208 + len(pool), len(names))
+    data = struct.pack("<IIIIIIII", 0xFEEDFACF, 7, 3, 2, 2, 176, 0, 0) + segment + symtab + pool + names
+    assert file_rules.macho_strings(data) == (["_symbol_a"], ["literal_one"])
+    made = file_rules.macho_rule(data, "m").text()
+    assert '"literal_one"' in made and '"_symbol_a"' in made and "all of ($constant_pool*)" in made
+    rows = [(f"f{i}", bytearray(rich_image(0x1234 + (i << 16)))) for i in range(3)]
+    files = spark.createDataFrame(rows + [("g", bytearray(rich_image(5)))], "path string, content binary")
+    labels = spark.createDataFrame([(f"f{i}", 1) for i in range(3)] + [("g", None)], "filename string, cluster int")
+    (got,) = file_rules.cluster_rules(labels, binary.extract(files, "pe_cluster")).collect()
+    assert got["cluster"] == 1 and "$file_header at 68" in got["text"] and "{ 4c 01 01 00 34 12 0? 00" in got["text"]
+    assert file_rules.cluster_rules(labels.limit(0), binary.extract(files, "pe_cluster")).count() == 0
