@@ -6,7 +6,7 @@ dictionary both score low, though labelled legitimate, become 'weird' and are no
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -66,3 +66,18 @@ def save(model, grams: dict[str, DataFrame], path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
     for name, df in grams.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark, path: str, names: tuple[str, ...] = ("popular", "dictionary")) -> tuple[PipelineModel, dict[str, DataFrame]]:
+    """A saved model and its n-gram tables."""
+    return PipelineModel.load(f"{path}/model"), {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def score(names: DataFrame, model: PipelineModel, popular: DataFrame, dictionary: DataFrame, grams_on: str = "domain") -> DataFrame:
+    """Class of each ``id, domain`` (or whole ``uri``) row by a fitted model.
+
+    ``grams_on`` is the column that n-grams, length and entropy are taken from: the domain label, or
+    the whole URI for models that were fitted on URIs. Null texts are left out.
+    """
+    known = names.where(F.col(grams_on).isNotNull())
+    return evaluate(model, features(known, popular, dictionary, "id", grams_on))

@@ -209,6 +209,21 @@ def wire_exemplars(roots: DataFrame, sim: Column) -> DataFrame:
     return scored.select(parent.alias("parent"), F.explode(F.array("hub", "node")).alias("child"), "sim").distinct()
 
 
+def one_tree(tree: DataFrame, sim) -> DataFrame:
+    """The edges of all components' trees and a star that wires their exemplars into one.
+
+    The hub is the exemplar of the component with most leaves (ties: the smallest component);
+    ``sim`` compares the token lists of two exemplars, as their labels hold them.
+    """
+    roots = exemplars(tree)
+    sizes = tree.where("not is_meta").groupBy("component").agg(F.count("*").alias("leaves"))
+    hub = roots.join(sizes, "component").orderBy(F.desc("leaves"), "component").limit(1).select("component", F.lit(1).alias("rank"))
+    ranked = roots.join(F.broadcast(hub), "component", "left").select(F.coalesce("rank", F.lit(2)).alias("rank"), "node", F.split("label", ":").alias("tokens"))  # one hub
+    star = wire_exemplars(ranked, sim(F.col("ta"), F.col("tb")))
+    inside = tree.where("parent is not null").select("parent", "child", F.col("weight").alias("sim"))
+    return inside.unionByName(star)
+
+
 def graph_info(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """One row: nodes, edges, components among linked nodes."""
     n, e = nodes.agg(F.count("*").alias("nodes")), links.agg(F.count("*").alias("edges"))

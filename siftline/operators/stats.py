@@ -52,22 +52,24 @@ def contingency(df: DataFrame, a: str, b: str, n: int = 0, matches: int = 0, kee
     return full.select("a", "b", "n")
 
 
-def gtest(df: DataFrame, a: str, b: str, n: int = 0, matches: int = 0, min_volume: int = 0, keep_top: bool = False) -> DataFrame:
+def gtest(df: DataFrame, a: str, b: str, n: int = 0, matches: int = 0, min_volume: int = 0, keep_top: bool = False, absent: bool = True) -> DataFrame:
     """``a, b, n, total, cd, exp, g``: conditional share, expected count and G score of each cell.
 
     Totals are over all values of b in the kept rows. Rows of at most ``min_volume`` keep their
-    counts and have null in the other columns.
+    counts and have null in the other columns. Without ``absent`` only cells that occur come out, and
+    no grid of values is made.
     """
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
     if n > 0:
         rows = isin_top(rows, "a", n)
-    cells = contingency(rows, "a", "b", 0, matches, keep_top)
+    cells = contingency(rows, "a", "b", 0, matches, keep_top) if absent or matches else rows.groupBy("a", "b").agg(F.count("*").alias("n"))
     ta, tb = rows.groupBy("a").agg(F.count("*").alias("row_total")), rows.groupBy("b").agg(F.count("*").alias("col_total"))
     all_ = rows.agg(F.count("*").alias("grand"))
     x = cells.join(ta, "a").join(tb, "b").crossJoin(F.broadcast(all_))  # one row
     total = F.when(F.col("row_total") > min_volume, F.col("row_total"))
     exp = total * F.col("col_total") / F.col("grand")
     g = F.when(F.col("n") == 0, F.when(total.isNotNull(), F.lit(0.0))).otherwise(2 * F.col("n") * F.log(F.col("n") / exp))
+    x = x if absent else x.where("n > 0")
     return x.select("a", "b", "n", total.alias("total"), (F.col("n") / total).alias("cd"), exp.alias("exp"), g.alias("g"))
 
 
@@ -103,3 +105,11 @@ def constant_columns(df: DataFrame, cluster: str, columns: list[str]) -> DataFra
     """``cluster, column, n_values, value``: value where a column has one value in a cluster."""
     long = df.select(F.col(cluster).alias("cluster"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("cluster", "x.*").where("v is not null")
     return long.groupBy("cluster", "column").agg(F.count_distinct("v").alias("n_values"), F.min("v").alias("lo")).select("cluster", "column", "n_values", F.when(F.col("n_values") == 1, F.col("lo")).alias("value"))
+
+
+def volume_correlations(df: DataFrame, period: Column, kind: str, k: int = 20) -> DataFrame:
+    """``x``, ``y``, ``corr`` of the volumes by period of the k most frequent kinds; a period without a kind counts 0."""
+    rows = df.where(F.col(kind).isNotNull())
+    kinds = sorted(r[kind] for r in top_values(rows, kind, k).collect())
+    volumes = rows.where(F.col(kind).isin(kinds)).groupBy(period.alias("_period")).pivot(kind, kinds).agg(F.count(F.lit(1))).na.fill(0)
+    return correlations(volumes, kinds)

@@ -63,7 +63,7 @@ def gtest_min_volume(spark, d):
 
 def gtest_descriptions(spark, d):
     m = _mdl(spark, d).select(F.lower(F.trim("description")).alias("x"), F.regexp_extract("asn", r"(\d+)", 1).alias("y")).where("x <> '' and x <> '-' and y <> ''")
-    return _g(stats.gtest(m, "x", "y", n=20)).where("n > 0")
+    return _g(stats.gtest(m, "x", "y", n=20, absent=False))
 
 
 def unpivot_contingency(spark, d):
@@ -95,6 +95,11 @@ def corr_matrix_topk(spark, d):
     return stats.correlations(table(spark, d, "lineitem"), NUMERIC).select("x", "y", F.round("corr", 6).alias("corr"))
 
 
+def corr_top_descriptions(spark, d):
+    m = _mdl(spark, d).select("row_id", F.date_trunc("day", "received_at").alias("day"), F.lower(F.trim("description")).alias("kind")).distinct()
+    return stats.volume_correlations(m.where("kind not in ('', '-')"), F.col("day"), "kind").select("x", "y", F.round("corr", 6).alias("corr"))
+
+
 def clean_nulls_dash(spark, d):
     return clean.complete_rows(clean.dash_to_null(_mdl(spark, d).select("row_id", "ip", "reverse", "registrant", "asn")))
 
@@ -339,6 +344,40 @@ ORACLES = {
     "pivot_hourly_fill": "select h, round(sum(c), 4) as click, round(sum(p), 4) as purchase from (select ts, hour(ts)::int as h, case when bool_or(event_type = 'click') then 1 else 0.01 end::double c, case when bool_or(event_type = 'purchase') then 1 else 0.01 end::double p from events group by ts) group by h",
     "volume_by_month": "select year(o_orderdate)::int as y, month(o_orderdate)::int as m, count(*) as n from orders group by 1, 2",
     "corr_pair": "select round(corr(l_quantity, l_extendedprice), 6) as corr from lineitem",
+    "yara_text": r"""
+with p as (select packer_name as name, list_filter(section_names, lambda v: v is not null and v <> '') as l from known_packers),
+q as (select name, list_filter(list_filter(l, lambda v, i: list_position(l, v) = i), lambda v: length(v) < 1000) as l from p)
+select name, 'rule ' || left(regexp_replace(regexp_replace(coalesce(name, ''), '^[0-9]', ''), '[^A-Za-z0-9_]', '_', 'g'), 128) || chr(10) || '{' || chr(10) ||
+  case when len(l) > 0 then chr(10) || 'strings:' || chr(10) || '    ' || array_to_string(list_transform(l, lambda v, i: '$string' || i::varchar || ' = "' || v || '"'), chr(10) || '    ') || chr(10) else '' end ||
+  chr(10) || 'condition:' || chr(10) || '    ' || case when len(l) > 0 then 'all of ($string*)' else 'true' end || chr(10) || '}' as text from q
+""",
+    "gtest_descriptions": r"""
+with m as (select lower(trim(description)) as x, regexp_extract(asn, '(\d+)', 1) as y from mdl_data where lower(trim(description)) not in ('', '-') and regexp_extract(asn, '(\d+)', 1) <> ''),
+r as (select * from m semi join (select x, count(*) as n from m group by x order by n desc, x limit 20) using (x)),
+c as (select x as a, y as b, count(*) as n, sum(count(*)) over (partition by x) as total, sum(count(*)) over (partition by y) as col_total, sum(count(*)) over () as grand from r group by x, y),
+e as (select a, b, n, total, n / total as cd, total * col_total / grand as exp from c)
+select a, b, n, total::bigint as total, round(cd, 6) as cd, round(exp, 6) as exp, round(2 * n * ln(n / exp), 6) as g from e
+""",
+    "corr_top_descriptions": """
+with m as (select distinct row_id, date_trunc('day', received_at at time zone 'UTC') as day, lower(trim(description)) as kind from mdl_data where lower(trim(description)) not in ('', '-')),
+top as (select kind, count(*) as n from m group by kind order by n desc, kind limit 20),
+t as (select day, kind, count(*) as n from m semi join top using (kind) group by all),
+g as (select day, kind, coalesce(n, 0) as n from (select distinct day from t) cross join (select kind from top) left join t using (day, kind))
+select a.kind as x, b.kind as y, round(corr(a.n, b.n), 6) as corr from g a join g b on a.day = b.day and a.kind <= b.kind group by all
+""",
+    "json_header_events": """
+select user_id, '[' || string_agg('{"' || event_type || '":"' || json_extract_string(props, '$.k') || '"}', ',' order by event_id) || ']' as json from events group by user_id
+""",
+    "header_agent_pick": """
+with e as (select *, sum(case when event_type = 'view' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events),
+r as (select * from e where run > 0 and event_type is not null),
+h as (
+  select user_id, run, max(ts) filter (event_type = 'purchase') as ts, count(*) filter (event_type = 'purchase') as dones,
+    string_agg('{"' || case when event_type = 'click' then 'USER-AGENT' else 'ACCEPT' end || '":' || to_json(props)::varchar || '}', ',' order by ts, event_id) filter (event_type not in ('view', 'purchase')) as headers,
+    last(props order by ts, event_id) filter (event_type = 'click') as agent
+  from r group by user_id, run)
+select ts, 'client' as origin, coalesce(agent, 'unknown') as useragent, coalesce('[' || headers || ']', '[]') as header_events_json from h where dones > 0
+""",
     "corr_matrix_topk": " union all ".join(f"select '{x}' as x, '{y}' as y, round(corr({x}, {y}), 6) as corr from lineitem" for i, x in enumerate(NUMERIC) for y in NUMERIC[i:]),
     "clean_nulls_dash": "select row_id, ip, reverse, registrant, asn from mdl_data where row_id is not null and nullif(ip, '-') is not null and nullif(reverse, '-') is not null and nullif(registrant, '-') is not null and nullif(asn, '-') is not null",
     "normalise_text": "select row_id, " + ", ".join(rf"lower(regexp_replace(regexp_replace({c}, '^\s+', ''), '\s+$', '')) as {c}" for c in ("reverse", "description", "asn")) + " from mdl_data",

@@ -163,6 +163,11 @@ def hcluster_exemplars(spark, d):
     return graph.exemplars(graph.trees(sims, one, 0.3))
 
 
+def hcluster_tree(spark, d):
+    one, sims = _links(spark, d)
+    return graph.one_tree(cut(graph.trees(sims, one, 0.3)), jaccard)
+
+
 def graph_counts(spark, d):
     one, sims = _links(spark, d)
     return graph.graph_info(one, sims)
@@ -242,7 +247,7 @@ def all_graph_counts(spark, d):
     return graph.graph_info(one, sims)
 
 
-QUERIES = {f.__name__: f for f in (lsh_signatures, lsh_bands, lsh_candidate_pairs, lsh_bin_limit, lsh_overflow, lsh_dedup, lsh_jaccard_pairs, lsh_levenshtein_pairs, lsh_levenshtein_distance_pairs, lsh_tapered_pairs, lsh_tapered_distance_pairs, lsh_query_top_n, lsh_query_levenshtein, lsh_top_sims, lsh_reduction_stats, minhash_hex_slow, jaccard_order_parts, common_tokens_ordered, array_set_ops, string_filter, node_labels, syslog_labels, syslog_tokens, token_counter_map, components, hcluster_edges, hcluster_exemplars, graph_counts, regex_morph, all_candidate_pairs, all_reduction_stats, all_jaccard_pairs, all_levenshtein_pairs, all_query_top_n, all_top_sims, all_query_levenshtein, all_components, all_hcluster_edges, all_hcluster_exemplars, all_graph_counts)}
+QUERIES = {f.__name__: f for f in (lsh_signatures, lsh_bands, lsh_candidate_pairs, lsh_bin_limit, lsh_overflow, lsh_dedup, lsh_jaccard_pairs, lsh_levenshtein_pairs, lsh_levenshtein_distance_pairs, lsh_tapered_pairs, lsh_tapered_distance_pairs, lsh_query_top_n, lsh_query_levenshtein, lsh_top_sims, lsh_reduction_stats, minhash_hex_slow, jaccard_order_parts, common_tokens_ordered, array_set_ops, string_filter, node_labels, syslog_labels, syslog_tokens, token_counter_map, components, hcluster_edges, hcluster_exemplars, hcluster_tree, graph_counts, regex_morph, all_candidate_pairs, all_reduction_stats, all_jaccard_pairs, all_levenshtein_pairs, all_query_top_n, all_top_sims, all_query_levenshtein, all_components, all_hcluster_edges, all_hcluster_exemplars, all_graph_counts)}
 
 _T = "t as (select distinct line_id id, features tokens from syslog where line_id is not null and features is not null)"
 _U = _T + ", u as (select min(id) id, tokens from t group by tokens)"

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
+#: Idle time after which an open connection's headers are dropped.
+IDLE_MS = 3_600_000
 OUT = "ts timestamp, origin string, useragent string, header_events_json string"
 
 
@@ -42,6 +44,10 @@ def batch(events: DataFrame) -> DataFrame:
 
 
 def _update(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # the connection was left open
+        state.remove()
+        yield pd.DataFrame(columns=["ts", "origin", "useragent", "header_events_json"])
+        return
     started, names, values = state.get if state.exists else (False, [], [])
     names, values, out = list(names), list(values), []
     for pdf in pdfs:
@@ -57,10 +63,14 @@ def _update(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
                 text = json.dumps([{n: "-" if n == "COOKIE" else v} for n, v in zip(names, values)], separators=(",", ":"), ensure_ascii=False)
                 out.append((e.ts, "client" if e.is_orig else "server", found[-1] if found else UNKNOWN, text))
                 started, names, values = False, [], []
-    state.update((started, names, values))
+    if started:
+        state.update((started, names, values))
+        state.setTimeoutDuration(IDLE_MS)
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["ts", "origin", "useragent", "header_events_json"])
 
 
 def stream(events: DataFrame) -> DataFrame:
-    """Header vectors of a stream of events, kept by connection between batches."""
-    return events.groupBy("conn").applyInPandasWithState(_update, OUT, "started boolean, names array<string>, vals array<string>", "append", "NoTimeout")
+    """Header vectors of a stream of events, kept by connection between batches; open ones are dropped after ``IDLE_MS`` without events."""
+    return events.groupBy("conn").applyInPandasWithState(_update, OUT, "started boolean, names array<string>, vals array<string>", "append", "ProcessingTimeTimeout")

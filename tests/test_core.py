@@ -49,7 +49,10 @@ def test_model_and_incremental_index(spark, records, tmp_path):
     salts, tables = lsh.load(spark, str(tmp_path / "m"))
     assert salts == p.salt_list() and tables["sigs"].count() == 9
     path = str(tmp_path / "index")
-    incremental.add(records, path, p)
+    incremental.add(records, path, p, "e1")
+    incremental.add(records, path, p, "e1")  # again: replaces
+    assert spark.read.parquet(f"{path}/records").count() == records.count()
+    assert incremental.lookup(records, path, p, without="e1").count() == 0
     query = spark.createDataFrame([(1000, ["x", "y", "z", "h"])], records.schema)
     best = [(r["id"], round(r["sim"], 2)) for r in lsh.top_n(incremental.lookup(query, path, p)).orderBy("rank").collect()]
     assert best and set(best) <= {(2, 0.25), (4, 0.75), (5, 0.75), (6, 0.6)} and best == sorted(best, key=lambda x: (-x[1], -x[0]))
@@ -293,3 +296,20 @@ def test_macho_strings_and_cluster_rules(spark):
     (got,) = file_rules.cluster_rules(labels, binary.extract(files, "pe_cluster")).collect()
     assert got["cluster"] == 1 and "$file_header at 68" in got["text"] and "{ 4c 01 01 00 34 12 0? 00" in got["text"]
     assert file_rules.cluster_rules(labels.limit(0), binary.extract(files, "pe_cluster")).count() == 0
+
+
+def test_exemplars_are_wired_into_one_tree(spark):
+    from siftline.functions.similarity import jaccard
+
+    rows = [(1, "1_2", "1", 0.9, "a:b", False), (1, "1_2", "2", 0.9, "a:b", False), (1, None, "1_2", None, "a:b", True), (3, "3_4", "3", 0.8, "a:c", False), (3, None, "3_4", None, "a:c", True), (5, None, "5", None, "z", False)]
+    tree = spark.createDataFrame(rows, "component bigint, parent string, child string, weight double, label string, is_meta boolean")
+    got = {(r["parent"], r["child"]) for r in graph.one_tree(tree, jaccard).collect()}
+    assert got == {("1_2", "1"), ("1_2", "2"), ("3_4", "3"), ("1_2_3_4", "1_2"), ("1_2_3_4", "3_4"), ("Root", "1_2"), ("Root", "5")}
+    assert graph.one_tree(tree.limit(0), jaccard).count() == 0
+
+
+def test_cells_that_occur_score_the_same_without_a_grid(spark):
+    rng = __import__("random").Random(1)
+    df = spark.createDataFrame([(rng.choice("abc"), rng.choice("wxyz")) for _ in range(60)] + [(None, "w"), ("d", None)], "p string, q string")
+    cells = lambda **k: sorted(map(repr, stats.gtest(df, "p", "q", **k).where("n > 0").collect()))
+    assert cells() == cells(absent=False)
