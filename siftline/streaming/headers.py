@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Idle time after which an open connection's headers are dropped.
-IDLE_MS = 3_600_000
 OUT = "ts timestamp, origin string, useragent string, header_events_json string"
 
 
@@ -43,7 +41,7 @@ def batch(events: DataFrame) -> DataFrame:
     return sent.select("ts", F.when(F.col("is_orig"), "client").otherwise("server").alias("origin"), agent(pairs, F.col("is_orig")).alias("useragent"), headers_json(pairs).alias("header_events_json"))
 
 
-def _update(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _update(key: tuple, pdfs: Iterator[pd.DataFrame], state, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:  # the connection was left open
         state.remove()
         yield pd.DataFrame(columns=["ts", "origin", "useragent", "header_events_json"])
@@ -65,12 +63,22 @@ def _update(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
                 started, names, values = False, [], []
     if started:
         state.update((started, names, values))
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(out, columns=["ts", "origin", "useragent", "header_events_json"])
 
 
-def stream(events: DataFrame) -> DataFrame:
-    """Header vectors of a stream of events, kept by connection between batches; open ones are dropped after ``IDLE_MS`` without events."""
-    return events.groupBy("conn").applyInPandasWithState(_update, OUT, "started boolean, names array<string>, vals array<string>", "append", "ProcessingTimeTimeout")
+def stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Header vectors of a stream of events, kept by connection between batches.
+
+    A connection's state goes when its vector is sent; with ``idle_ms`` also after that long without
+    events (Spark then runs batches without data, too).
+    """
+
+    def update(key, pdfs, state):
+        yield from _update(key, pdfs, state, idle_ms)
+
+    kept = "started boolean, names array<string>, vals array<string>"
+    return events.groupBy("conn").applyInPandasWithState(update, OUT, kept, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
