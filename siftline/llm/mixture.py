@@ -27,8 +27,8 @@ from siftline.runtime import cut
 
 #: Sizes that are fitted first, tolerance of a round a row, ridge, rows that seed the means, variance kept.
 SIZES, TOLERANCE, RIDGE, SEED_ROWS, KEPT_VARIANCE = (4, 8, 16, 32), 1e-3, 1e-3, 2048, 0.999
-#: Rounds of EM at most (it comes to its tolerance in fewer), cells of a matrix of densities.
-LIMIT, CELLS = 400, 4_000_000
+#: Rounds of EM at most (a fit short of its tolerance by then is taken as it is), cells of a matrix of densities.
+LIMIT, CELLS = 60, 4_000_000
 FEATURES = ("number_of_sections", "sec_entropy_text", "size_code", "number_of_import_symbols")
 MISSING = -99
 
@@ -95,7 +95,7 @@ def _with(base: Mixture, weights: np.ndarray, means: np.ndarray, covs: np.ndarra
 
 
 def chosen(x: DataFrame, names: tuple[str, ...] = ("x0", "x1", "x2", "x3"), seed: int = 7) -> Mixture | None:
-    """The mixture of least criterion among 4, 8, 16, 32, 64 .. components, each fitted to the tolerance, doubled until the criterion rises. None if no rows."""
+    """The mixture of least criterion among 4, 8, 16, 32, 64 .. components, each fitted to the tolerance or for ``LIMIT`` rounds, doubled until the criterion rises. None if no rows."""
     seen, sizes = [], SIZES
     while True:
         models = fits(x, names, sizes, seed, LIMIT)
