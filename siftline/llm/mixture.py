@@ -28,7 +28,7 @@ from siftline.runtime import cut
 #: Sizes that are fitted first, tolerance of a round a row, ridge, rows that seed the means, variance kept.
 SIZES, TOLERANCE, RIDGE, SEED_ROWS, KEPT_VARIANCE = (4, 8, 16, 32), 1e-3, 1e-3, 2048, 0.999
 #: Rounds of EM at most (a fit short of its tolerance by then is taken as it is), cells of a matrix of densities.
-LIMIT, CELLS = 60, 4_000_000
+LIMIT, CELLS = 25, 4_000_000
 FEATURES = ("number_of_sections", "sec_entropy_text", "size_code", "number_of_import_symbols")
 MISSING = -99
 
