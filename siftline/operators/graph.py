@@ -60,6 +60,36 @@ def _locally(final: bool):
     return run
 
 
+#: What ``forest_of`` yields: links of a forest, and with a null ``a`` the number of links read.
+FOREST = "a bigint, b bigint"
+
+
+def forest_of(batches):
+    """Batches of ``sim, src, dst`` of different nodes to links of a forest and their number."""
+    read = [0]
+
+    def pairs():
+        for batch in batches:
+            read[0] += batch.num_rows
+            yield pa.RecordBatch.from_arrays(batch.columns[1:3], ["a", "b"])
+
+    yield from _locally(False)(pairs())
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array(read, pa.int64())], ["a", "b"])
+
+
+def joined(forest: DataFrame) -> DataFrame:
+    """``id``, ``component`` of what ``forest_of`` made."""
+    return components(forest.where("a is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def forest_info(nodes: DataFrame, forest: DataFrame) -> DataFrame:
+    """``graph_info`` of what ``forest_of`` made."""
+    forest = cut(forest)
+    n, e = nodes.agg(F.count("*").alias("nodes")), forest.where("a is null").agg(F.coalesce(F.sum("b"), F.lit(0).cast("bigint")).alias("edges"))
+    c = joined(forest).agg(F.count_distinct("component").alias("components"))
+    return n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(c))  # one row each
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id``, ``component`` (its smallest id).
 

@@ -132,6 +132,11 @@ def _counted(tokens: Column) -> Column:
     return F.transform(items, lambda t, i: F.concat(F.size(F.filter(F.slice(items, 1, i), lambda u: u == t)).cast("string"), t))
 
 
+def items_of(metric: str) -> Column:
+    """The items whose overlap bounds a metric: with repeats for edit distances."""
+    return _counted(F.col("tokens")) if metric.startswith("levenshtein") else F.array_distinct(_items(F.col("tokens")))
+
+
 def exact_pairs(df: DataFrame, threshold: float, repeats: bool = False) -> DataFrame:
     """All ``src`` < ``dst`` whose shared tokens exceed ``threshold`` x tokens of the larger list (sets, or with repeats), by prefix join.
 
@@ -189,9 +194,10 @@ def averaged_top(queries: DataFrame, found: DataFrame, n: int = 5) -> DataFrame:
 
 
 def reduction(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: records, candidate pairs, all pairs."""
+    """One row: records, candidate pairs, all pairs. ``pairs`` may be counts ``n`` of pairs instead."""
     n = df.agg(F.count("*").alias("records"))
-    return n.crossJoin(F.broadcast(pairs.agg(F.count("*").alias("pairs")))).withColumn("all_pairs", F.col("records") * (F.col("records") - 1) / 2)
+    count = F.coalesce(F.sum("n"), F.lit(0).cast("bigint")) if pairs.columns == ["n"] else F.count("*")
+    return n.crossJoin(F.broadcast(pairs.agg(count.alias("pairs")))).withColumn("all_pairs", F.col("records") * (F.col("records") - 1) / 2)
 
 
 def save(path: str, buckets: DataFrame, sigs: DataFrame, pairs: DataFrame, p: MinHash) -> None:
