@@ -8,7 +8,7 @@ import pytest
 from siftline.operators import lsh, pair_blocks
 from siftline.plans import search_queries
 
-QUERIES = ["all_reduction_stats", "all_candidate_pairs", "all_levenshtein_pairs", "components", "graph_counts", "lsh_levenshtein_pairs", "all_components", "lsh_jaccard_pairs", "lsh_reduction_stats", "all_graph_counts", "all_jaccard_pairs"]
+QUERIES = "all_reduction_stats all_candidate_pairs all_levenshtein_pairs components graph_counts lsh_levenshtein_pairs all_components lsh_jaccard_pairs lsh_reduction_stats all_graph_counts all_jaccard_pairs lsh_levenshtein_distance_pairs".split()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,8 @@ def test_no_pairs_are_shuffled(spark, name, lists, tmp_path, monkeypatch):
     monkeypatch.setattr(lsh, "candidate_pairs", refused)
     monkeypatch.setattr(lsh, "exact_pairs", refused)
     monkeypatch.setattr(lsh, "similarities", refused)
+    monkeypatch.setattr(lsh, "query", refused)
+    monkeypatch.setattr(search_queries, "levenshtein_sim", refused, raising=False)
     spark.createDataFrame([(i, list(t)) for i, t in lists.items()], "line_id bigint, features array<string>").write.parquet(f"{tmp_path}/syslog.parquet")
     assert search_queries.QUERIES[name](spark, str(tmp_path)).count() > 0
 
@@ -54,3 +56,24 @@ def test_edit_distances_in_bulk():
     a, b = np.array([[1, 2, 3], [0, 0, 0], [1, 0, 0], [5, 6, 0]]), np.array([[1, 3, 0, 0], [7, 8, 9, 1], [1, 0, 0, 0], [6, 5, 6, 0]])
     assert pair_blocks.edit_distances(a, np.array([3, 0, 2, 2]), b, np.array([2, 4, 2, 3])).tolist() == [1, 4, 1, 1]
     assert pair_blocks.edit_distances(a[:0], np.zeros(0, int), b[:0], np.zeros(0, int)).tolist() == []
+
+
+def test_tapered_distances_in_bulk(spark, lists):
+    from siftline.functions.similarity import tapered
+
+    df = spark.createDataFrame([(i, list(x), list(y)) for i, (x, y) in enumerate(zip(lists.values(), [*lists.values()][7:]))], "i int, a array<string>, b array<string>").where("size(a) + size(b) > 0")
+    rows = df.select("a", "b", tapered(lsh.F.col("a"), lsh.F.col("b")).alias("d")).collect()
+    codes = lambda c: np.array([[0 if t is None else ord(t) for t in r[c]] + [0] * (6 - len(r[c])) for r in rows])
+    sizes = lambda c: np.array([len(r[c]) for r in rows])
+    assert pair_blocks.tapered_distances(codes("a"), sizes("a"), codes("b"), sizes("b")).tolist() == [r["d"] for r in rows]
+
+
+def test_edit_similarity_of_queries(spark, lists, monkeypatch):
+    df = spark.createDataFrame([(i, list(t)) for i, t in lists.items()], "id bigint, tokens array<string>")
+    p = search_queries.WIDE
+    asked = df.where("id % 3 = 0")
+    want = lsh.query(lsh.bands(lsh.signatures(df, p), p), df, asked, p, "levenshtein", 0.1)
+    keyed = search_queries.cut(df.join(pair_blocks.band_keys(lsh.signatures(df, p), p), "id"))
+    got = lsh.exact_query(keyed, search_queries.cut(keyed.where("id % 3 = 0")), 0.1, repeats=True, block=(9, 20), metric="levenshtein")
+    rounded = lambda d: sorted((r["qid"], r["id"], round(r["sim"], 9)) for r in d.collect())
+    assert rounded(got) == rounded(want) != []
