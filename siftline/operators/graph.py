@@ -1,8 +1,9 @@
 """Linked records as trees: components, single-linkage trees, exemplars, nested JSON.
 
 ``sims`` is ``sim, src, dst``. Null or equal ends are no links. A component's tree is built in one
-task, as the linkage depends on the order of its links; components themselves are found by joins,
-after the links of each partition have been reduced to a forest.
+task, as the linkage depends on the order of its links; they reach it packed by the tasks that found
+them. Components themselves are found by joins, after the links of each partition have been reduced
+to a forest.
 """
 
 from __future__ import annotations
@@ -10,33 +11,39 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.runtime import cut
+from siftline.operators import linkage
+from siftline.runtime import cut, small
 
-#: Links that one task joins to components.
-TASK_LINKS = 2_000_000
+#: Links that one task joins to components; links that are packed together.
+TASK_LINKS = PACK_LINKS = 2_000_000
 
 
-def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the links and the smallest of each one's component: roots hook to smaller ones, then pointers are halved."""
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the links, the numbers of both ends and of each node's root, the smallest of its component: roots hook to smaller ones, then pointers are halved."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends.reshape(2, -1)
+    x, y = left, right = ends.reshape(2, -1)
     up = np.arange(len(nodes))
     while True:
         rx, ry = up[x], up[y]
         apart = rx != ry
         if not apart.any():
-            return nodes, nodes[up]
+            return nodes, left, right, up
         x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
         np.minimum.at(up, np.maximum(rx, ry), np.minimum(rx, ry))
         while (up[up] != up).any():
             up = up[up]
 
 
+def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links and the smallest of each one's component."""
+    nodes, _, _, up = _roots(a, b)
+    return nodes, nodes[up]
+
+
 def _locally(final: bool):
     """Links of a partition to (node, root) links; without ``final``, roots themselves are left out and memory is bounded."""
 
@@ -203,22 +210,99 @@ def link(sims: list[tuple[float, int, int]], names: dict[int, list[str]], close:
     return forest
 
 
+#: What ``packed`` yields: for links that hang together their smallest node, nodes and levels in order, and ``n`` times the numbers of level, src and dst.
+PACKED = "root bigint, nodes array<bigint>, levels array<double>, n bigint, links binary"
+
+
+def packed(batches):
+    """Batches of ``sim, src, dst`` of different nodes to all their links, packed by what hangs together."""
+    held, count = [], 0
+
+    def made():
+        sim, a, b = (np.concatenate(c) for c in zip(*held))
+        nodes, x, y, up = _roots(a, b)
+        levels, level = np.unique(sim, return_inverse=True)
+        names, own = np.unique(up, return_inverse=True)
+        order = np.argsort(own, kind="stable")
+        begin = np.searchsorted(own[order], np.arange(len(names) + 1))
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes)) - begin[own[order]]
+        by = np.argsort(own[x], kind="stable")
+        cuts = np.searchsorted(own[x][by], np.arange(len(names) + 1))
+        rows = np.stack([level[by], place[x][by], place[y][by]]).astype(np.int32)
+        for at in range(0, len(names), 10_000):
+            out = []
+            for k in range(at, min(at + 10_000, len(names))):
+                part = rows[:, cuts[k] : cuts[k + 1]]
+                own_levels, part[0] = np.unique(part[0], return_inverse=True)
+                out.append((nodes[names[k]], nodes[order[begin[k] : begin[k + 1]]], levels[own_levels], part.shape[1], pa.compress(part.tobytes(), "zstd", asbytes=True)))
+            kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["root", "nodes", "levels", "n", "links"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            count += batch.num_rows
+        if count >= PACK_LINKS:
+            yield from made()
+            held, count = [], 0
+    if held:
+        yield from made()
+
+
+def _unpacked(packs: pa.Table, ids: np.ndarray):
+    """All levels, and for each row its links' levels and ends as numbers of levels and ids."""
+    levels = np.unique(packs["levels"].combine_chunks().flatten().to_numpy())
+
+    def rows():
+        for nodes, own, n, links in zip(*(packs[c] for c in ("nodes", "levels", "n", "links"))):
+            level, x, y = np.frombuffer(pa.decompress(links.as_buffer(), 12 * n.as_py(), "zstd"), np.int32).reshape(3, -1)
+            place = np.searchsorted(ids, nodes.values.to_numpy())
+            yield np.searchsorted(levels, own.values.to_numpy())[level], place[x], place[y]
+
+    return levels, rows()
+
+
+def _built(packs: pa.Table, members: pa.Table, close: float) -> pa.Table:
+    """The tree's rows of one component."""
+    ids, names = np.unique(members["id"].to_numpy()), dict(zip(members["id"].to_pylist(), members["tokens"].to_pylist()))
+    levels, rows = _unpacked(packs, ids)
+    component, bits = packs["component"][0].as_py(), linkage.width(len(ids), len(levels))
+    if bits is None:  # too many for numbers of 64 bits
+        forest = link([(levels[s], int(ids[x]), int(ids[y])) for part in rows for s, x, y in zip(*part)], {i: t or [] for i, t in names.items()}, close)
+        out = [(p, c, s, c in forest.down, forest.labels[c]) for p, kids in forest.down.items() for c, s in kids]
+        out += [(None, c, None, c in forest.down, forest.labels[c]) for c in forest.tokens if c not in forest.up]
+    else:
+        keys, at = np.empty(sum(packs["n"].to_pylist()), np.uint64), 0
+        for level, x, y in rows:
+            keys[at : at + len(x)] = (level << 2 * bits) | (x << bits) | y
+            at += len(x)
+        keys.sort()
+        known = ids.tolist()
+        parent, weight, tokens, named = linkage.grow(keys, bits, levels, [names.get(i) or [] for i in known], close, lambda i: str(known[i]))
+        label = lambda i: ":".join(t for t in tokens[i] if t is not None) or "---" * (i >= len(known))
+        out = [(named[p] if p >= 0 else None, named[i], weight[i], i >= len(known), label(i)) for i, p in enumerate(parent) if named[i] is not None]
+    parents, children, weights, metas, labels = zip(*out)
+    inverse = [None if w is None else 1 - w for w in weights]
+    columns = [pa.array([component] * len(out), pa.int64()), pa.array(parents, pa.string()), pa.array(children, pa.string()), pa.array(weights, pa.float64()), pa.array(inverse, pa.float64()), pa.array(labels, pa.string()), pa.array(metas, pa.bool_())]
+    return pa.table(columns, ["component", "parent", "child", "weight", "inv_weight", "label", "is_meta"])
+
+
 def trees(sims: DataFrame, records: DataFrame, close: float = 0.0) -> DataFrame:
     """``component, parent, child, weight, inv_weight, label, is_meta`` of each component's tree; the root has a null parent."""
-    comp = components(sims)
-    edges = sims.where("src <> dst").join(comp.select(F.col("id").alias("src"), "component"), "src")
-    named = comp.join(records.select("id", "tokens"), "id").select(F.col("component").alias("tree"), "id", "tokens")
-    schema = "component bigint, parent string, child string, weight double, inv_weight double, label string, is_meta boolean"
+    links = sims.where("src <> dst").select(F.col("sim").cast("double"), F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    return packed_trees(links.mapInArrow(packed, PACKED), records, close)
 
-    def build(e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        if not len(e):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        forest = link(list(zip(e["sim"], e["src"], e["dst"])), {i: list(t) for i, t in zip(n["id"], n["tokens"])}, close)
-        rows = [(p, c, s, 1 - s) for p, kids in forest.down.items() for c, s in kids]
-        rows += [(None, node, None, None) for node in forest.tokens if node not in forest.up]
-        return pd.DataFrame([(int(e["component"].iloc[0]), p, c, s, i, forest.labels[c], c in forest.down) for p, c, s, i in rows], columns=["component", "parent", "child", "weight", "inv_weight", "label", "is_meta"])
 
-    return edges.groupBy("component").cogroup(named.groupBy("tree")).applyInPandas(build, schema)
+def packed_trees(packs: DataFrame, records: DataFrame, close: float = 0.0) -> DataFrame:
+    """``trees`` of what ``packed`` made."""
+    packs = cut(packs)
+    comp = cut(components(packs.select(F.col("root").alias("src"), F.explode("nodes").alias("dst"))))
+    tops = packs.select("root").distinct().join(comp.withColumnRenamed("id", "root"), "root")
+    edges = packs.join(small(cut(tops), PACK_LINKS), "root").select("component", "nodes", "levels", "n", "links")
+    named = comp.join(records.select("id", "tokens"), "id", "left").select(F.col("component").alias("tree"), "id", "tokens")
+    schema = "component bigint, parent string, child string, weight double, inv_weight double, label string, is_meta boolean"
+    return edges.groupBy("component").cogroup(named.groupBy("tree")).applyInArrow(lambda e, n: _built(e, n, close), schema)
 
 
 def exemplars(tree: DataFrame) -> DataFrame:
