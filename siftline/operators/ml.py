@@ -82,27 +82,32 @@ def elbow(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 7, 12), s
 
 
 def _neighbours(x: DataFrame, columns: list[str], eps: float) -> DataFrame:
-    """``a, b`` within eps of each other, both ways and with itself: cells of width eps over three columns at most meet their neighbours."""
+    """``a, b`` within eps of each other, both ways and with itself, and b's ``_n``: cells of width eps over three columns at most meet their neighbours."""
     grid = columns[:3]
-    keyed = x.select("id", *columns, *[F.floor(F.col(c) / eps).alias(f"g{i}") for i, c in enumerate(grid)])
+    keyed = x.select("id", "_n", *columns, *[F.floor(F.col(c) / eps).alias(f"g{i}") for i, c in enumerate(grid)])
     probe = keyed.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns], *[f"g{i}" for i in range(len(grid))])
     for i in range(len(grid)):
         probe = probe.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"g{i}") + k for k in (-1, 0, 1)])))
     both = probe.join(keyed.withColumnRenamed("id", "b"), [f"g{i}" for i in range(len(grid))])
-    return both.where(sum(((F.col(f"a_{c}") - F.col(c)) ** 2 for c in columns), F.lit(0.0)) <= eps * eps).select("a", "b")
+    return both.where(sum(((F.col(f"a_{c}") - F.col(c)) ** 2 for c in columns), F.lit(0.0)) <= eps * eps).select("a", "b", "_n")
 
 
 def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int = 3) -> DataFrame:
-    """``id, cluster, is_core``: cluster is the smallest core id it hangs together with; -1 is noise. A border point takes its smallest cluster."""
+    """``id, cluster, is_core``: cluster is the smallest core id it hangs together with; -1 is noise. A border point takes its smallest cluster.
+
+    Rows at one point are counted there, by its smallest id, so pairs are those of different points.
+    """
     x = cut(_clean(df, columns))
-    near = cut(_neighbours(x, columns, eps))
-    core = cut(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a"))
-    links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    points = cut(x.groupBy(*columns).agg(F.min("id").alias("id"), F.count("*").alias("_n")))
+    near = cut(_neighbours(points, columns, eps))
+    core = cut(near.groupBy("a").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= min_samples).select("a"))
+    links = near.select("a", "b").join(core, "a").join(core.withColumnRenamed("a", "b"), "b").where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     grown = components(links)
-    label = core.join(grown, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("cluster"))
-    border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("reach"))
-    out = x.select("id").join(label, F.col("id") == F.col("a"), "left").drop("a").join(border, F.col("id") == F.col("a"), "left").drop("a")
-    return out.select("id", F.coalesce("cluster", "reach", F.lit(-1)).alias("cluster"), F.col("cluster").isNotNull().alias("is_core"))
+    label = cut(core.join(grown, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("_cluster")))
+    border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("_cluster").alias("_reach"))
+    at = points.drop("_n").join(label, F.col("id") == F.col("a"), "left").drop("a").join(border, F.col("id") == F.col("a"), "left").select(*columns, "_cluster", "_reach")
+    out = x.join(at, columns, "left")
+    return out.select("id", F.coalesce("_cluster", "_reach", F.lit(-1)).alias("cluster"), F.col("_cluster").isNotNull().alias("is_core"))
 
 
 def _cells(x: DataFrame, columns: list[str], width: float) -> tuple[np.ndarray, np.ndarray]:
