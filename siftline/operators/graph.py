@@ -2,16 +2,18 @@
 
 ``sims`` is ``sim, src, dst``. Null or equal ends are no links. A component's tree is built in one
 task, as the linkage depends on the order of its links; they reach it packed by the tasks that found
-them. Components themselves are found by joins, after the links of each partition have been reduced
+them, without those that change no tree. Components themselves are found by joins, after the links of each partition have been reduced
 to a forest.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,14 +214,32 @@ def link(sims: list[tuple[float, int, int]], names: dict[int, list[str]], close:
 
 #: What ``packed`` yields: for links that hang together their smallest node, nodes and levels in order, and ``n`` times the numbers of level, src and dst.
 PACKED = "root bigint, nodes array<bigint>, levels array<double>, n bigint, links binary"
+#: What ``thinned`` yields: the links that can change a tree, with their flags of ``linkage.thin``.
+THINNED = PACKED + ", flags binary"
 
 
-def packed(batches):
+def thinned(close: float) -> Callable:
+    """``packed`` for pairs whose links ``packed_trees`` can find again, without links that change no tree of that ``close``."""
+    return lambda batches: packed(batches, close)
+
+
+def packed(batches, close: float | None = None):
     """Batches of ``sim, src, dst`` of different nodes to all their links, packed by what hangs together."""
     held, count = [], 0
 
     def made():
         sim, a, b = (np.concatenate(c) for c in zip(*held))
+        flags = None if close is None else np.zeros(len(a), np.uint8)
+        if close is not None:
+            nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+            levels, level = np.unique(sim, return_inverse=True)
+            if (bits := linkage.width(len(nodes), len(levels))) is not None:
+                x, y = ends.reshape(2, -1).astype(np.uint64)
+                keys = (level.astype(np.uint64) << np.uint64(2 * bits)) | (x << np.uint64(bits)) | y
+                order = np.argsort(keys)
+                stay, flags = linkage.thin(keys[order], bits, levels, len(nodes), close)
+                order, flags = order[stay], flags[stay]
+                sim, a, b = sim[order], a[order], b[order]
         nodes, x, y, up = _roots(a, b)
         levels, level = np.unique(sim, return_inverse=True)
         names, own = np.unique(up, return_inverse=True)
@@ -236,8 +256,11 @@ def packed(batches):
                 part = rows[:, cuts[k] : cuts[k + 1]]
                 own_levels, part[0] = np.unique(part[0], return_inverse=True)
                 out.append((nodes[names[k]], nodes[order[begin[k] : begin[k + 1]]], levels[own_levels], part.shape[1], pa.compress(part.tobytes(), "zstd", asbytes=True)))
-            kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["root", "nodes", "levels", "n", "links"])
+                if flags is not None:
+                    out[-1] += (pa.compress(flags[by[cuts[k] : cuts[k + 1]]].tobytes(), "zstd", asbytes=True),)
+            kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.binary(), pa.binary()
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "nodes", "levels", "n", "links", "flags"][: len(columns)])
 
     for batch in batches:
         if batch.num_rows:
@@ -251,40 +274,85 @@ def packed(batches):
 
 
 def _unpacked(packs: pa.Table, ids: np.ndarray):
-    """All levels, and for each row its links' levels and ends as numbers of levels and ids."""
+    """All levels, and for each row its links' levels and ends as numbers of levels and ids, and their flags."""
     levels = np.unique(packs["levels"].combine_chunks().flatten().to_numpy())
 
     def rows():
-        for nodes, own, n, links in zip(*(packs[c] for c in ("nodes", "levels", "n", "links"))):
+        flagged = packs["flags"] if "flags" in packs.column_names else [None] * len(packs)
+        for nodes, own, n, links, flags in zip(*(packs[c] for c in ("nodes", "levels", "n", "links")), flagged):
             level, x, y = np.frombuffer(pa.decompress(links.as_buffer(), 12 * n.as_py(), "zstd"), np.int32).reshape(3, -1)
             place = np.searchsorted(ids, nodes.values.to_numpy())
-            yield np.searchsorted(levels, own.values.to_numpy())[level], place[x], place[y]
+            yield np.searchsorted(levels, own.values.to_numpy())[level], place[x], place[y], flags and np.frombuffer(pa.decompress(flags.as_buffer(), n.as_py(), "zstd"), np.uint8)
 
     return levels, rows()
 
 
-def _built(packs: pa.Table, members: pa.Table, close: float) -> pa.Table:
-    """The tree's rows of one component."""
-    ids, names = np.unique(members["id"].to_numpy()), dict(zip(members["id"].to_pylist(), members["tokens"].to_pylist()))
+def _shared(lists: pa.Array) -> list[list | None]:
+    """The lists, with one object for equal tokens."""
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    words, at = [*coded.dictionary.to_pylist(), None], 0
+    flat, out = coded.indices.fill_null(len(words) - 1).to_pylist(), []
+    for n in pa.compute.list_value_length(lists).to_pylist():
+        out.append(None if n is None else [words[k] for k in flat[at : at + n]])
+        at += n or 0
+    return out
+
+
+def _alike(members: pa.Table, threshold: float) -> Callable:
+    """A search for all links of a member as ``pair_blocks.alike`` finds them: ``sims, ends`` of its number."""
+    members = members.sort_by("id").combine_chunks()
+    ws, ks = members["ws"].chunk(0), members["ks"].chunk(0)
+    m, starts = np.diff(ws.offsets.to_numpy()), ws.offsets.to_numpy() - ws.offsets[0].as_py()
+    flat = np.unique(ws.flatten().to_numpy(), return_inverse=True)[1].astype(np.int32)
+    holders = np.repeat(np.arange(len(m), dtype=np.int32), m)[np.argsort(flat, kind="stable")]
+    begin = np.searchsorted(np.sort(flat), np.arange(int(flat.max(initial=-1)) + 2))
+    keys = None if ks.null_count else ks.flatten().to_numpy().reshape(len(m), -1)
+
+    def links(node: int) -> tuple[np.ndarray, np.ndarray]:
+        shared = np.bincount(np.concatenate([holders[begin[w] : begin[w + 1]] for w in flat[starts[node] : starts[node + 1]]]), minlength=len(m))
+        shared[node] = 0
+        ends = np.flatnonzero(shared > threshold * m[node])
+        larger = np.maximum(m[ends], m[node])
+        ok = shared[ends] > threshold * larger
+        if keys is not None:
+            ok &= (keys[ends] == keys[node]).any(axis=1)
+        return shared[ends[ok]] / larger[ok], ends[ok]
+
+    return links
+
+
+def _built(packs: pa.Table, members: pa.Table, close: float, threshold: float | None = None) -> pa.Table:
+    """The tree's rows of one component; with a threshold, links were thinned and the members have ``ws`` and ``ks``."""
+    ids, names = np.unique(members["id"].to_numpy()), dict(zip(members["id"].to_pylist(), _shared(members["tokens"].combine_chunks())))
     levels, rows = _unpacked(packs, ids)
     component, bits = packs["component"][0].as_py(), linkage.width(len(ids), len(levels))
     if bits is None:  # too many for numbers of 64 bits
-        forest = link([(levels[s], int(ids[x]), int(ids[y])) for part in rows for s, x, y in zip(*part)], {i: t or [] for i, t in names.items()}, close)
+        if threshold is not None:
+            raise OverflowError("a component of so many nodes needs all of its links")
+        forest = link([(levels[s], int(ids[x]), int(ids[y])) for part in rows for s, x, y in zip(*part[:3])], {i: t or [] for i, t in names.items()}, close)
         out = [(p, c, s, c in forest.down, forest.labels[c]) for p, kids in forest.down.items() for c, s in kids]
         out += [(None, c, None, c in forest.down, forest.labels[c]) for c in forest.tokens if c not in forest.up]
+        parents, children, weights, metas, labels = zip(*out)
     else:
-        keys, at = np.empty(sum(packs["n"].to_pylist()), np.uint64), 0
-        for level, x, y in rows:
+        keys, at, below = np.empty(sum(packs["n"].to_pylist()), np.uint64), 0, None
+        for level, x, y, flags in rows:
             keys[at : at + len(x)] = (level << 2 * bits) | (x << bits) | y
+            if flags is not None:
+                below = np.zeros(len(ids), np.uint64) if below is None else below
+                for bit, ends in ((1, x), (2, y)):
+                    hit = np.flatnonzero(flags & bit)
+                    np.maximum.at(below, ends[hit], keys[at + hit])
             at += len(x)
         keys.sort()
         known = ids.tolist()
-        parent, weight, tokens, named = linkage.grow(keys, bits, levels, [names.get(i) or [] for i in known], close, lambda i: str(known[i]))
+        parent, weight, tokens, named = linkage.grow(keys, bits, levels, [names.get(i) or [] for i in known], close, lambda i: str(known[i]), below, None if threshold is None else _alike(members, threshold))
         label = lambda i: ":".join(t for t in tokens[i] if t is not None) or "---" * (i >= len(known))
-        out = [(named[p] if p >= 0 else None, named[i], weight[i], i >= len(known), label(i)) for i, p in enumerate(parent) if named[i] is not None]
-    parents, children, weights, metas, labels = zip(*out)
+        rows = [i for i, n in enumerate(named) if n is not None]
+        parents, children, weights = [named[parent[i]] if parent[i] >= 0 else None for i in rows], [named[i] for i in rows], [weight[i] for i in rows]
+        metas, labels = [i >= len(known) for i in rows], pa.array(map(label, rows), pa.string())
     inverse = [None if w is None else 1 - w for w in weights]
-    columns = [pa.array([component] * len(out), pa.int64()), pa.array(parents, pa.string()), pa.array(children, pa.string()), pa.array(weights, pa.float64()), pa.array(inverse, pa.float64()), pa.array(labels, pa.string()), pa.array(metas, pa.bool_())]
+    columns = [pa.array([component] * len(metas), pa.int64()), pa.array(parents, pa.string()), pa.array(children, pa.string()), pa.array(weights, pa.float64()), pa.array(inverse, pa.float64()), pa.array(labels, pa.string()), pa.array(metas, pa.bool_())]
     return pa.table(columns, ["component", "parent", "child", "weight", "inv_weight", "label", "is_meta"])
 
 
@@ -294,15 +362,17 @@ def trees(sims: DataFrame, records: DataFrame, close: float = 0.0) -> DataFrame:
     return packed_trees(links.mapInArrow(packed, PACKED), records, close)
 
 
-def packed_trees(packs: DataFrame, records: DataFrame, close: float = 0.0) -> DataFrame:
-    """``trees`` of what ``packed`` made."""
+def packed_trees(packs: DataFrame, records: DataFrame, close: float = 0.0, lists: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+    """``trees`` of what ``packed`` made, or ``thinned`` of the jaccard pairs of ``lists`` above the threshold (``pair_blocks.alike``, banded if they have band keys)."""
     packs = cut(packs)
     comp = cut(components(packs.select(F.col("root").alias("src"), F.explode("nodes").alias("dst"))))
     tops = packs.select("root").distinct().join(comp.withColumnRenamed("id", "root"), "root")
-    edges = packs.join(small(cut(tops), PACK_LINKS), "root").select("component", "nodes", "levels", "n", "links")
+    edges = packs.join(small(cut(tops), PACK_LINKS), "root").select("component", *[c for c in packs.columns if c != "root"])
     named = comp.join(records.select("id", "tokens"), "id", "left").select(F.col("component").alias("tree"), "id", "tokens")
+    if lists is not None:
+        named = named.join(lists.select("id", "ws", "ks"), "id")
     schema = "component bigint, parent string, child string, weight double, inv_weight double, label string, is_meta boolean"
-    return edges.groupBy("component").cogroup(named.groupBy("tree")).applyInArrow(lambda e, n: _built(e, n, close), schema)
+    return edges.groupBy("component").cogroup(named.groupBy("tree")).applyInArrow(lambda e, n: _built(e, n, close, threshold), schema)
 
 
 def exemplars(tree: DataFrame) -> DataFrame:
