@@ -77,3 +77,19 @@ def test_edit_similarity_of_queries(spark, lists, monkeypatch):
     got = lsh.exact_query(keyed, search_queries.cut(keyed.where("id % 3 = 0")), 0.1, repeats=True, block=(9, 20), metric="levenshtein")
     rounded = lambda d: sorted((r["qid"], r["id"], round(r["sim"], 9)) for r in d.collect())
     assert rounded(got) == rounded(want) != []
+
+
+@pytest.mark.parametrize("metric", ["l_tapered_sim"])
+def test_distances_are_made_once_for_a_pattern(metric, monkeypatch):
+    """Lists of few shapes, some with nulls and of over 64 places: as many distances as patterns, with the same results."""
+    monkeypatch.setattr(pair_blocks, "ALIKE", 20)
+    rng, distance = np.random.default_rng(3), pair_blocks.DISTANCES[metric].args[0]
+    n = 3000
+    la, lb = rng.choice([0, 1, 3, 9, 12], n), rng.choice([0, 2, 3, 9], n)
+    shape = np.arange(1, 13)
+    a, b = (np.where(rng.random((n, 12)) < 0.97, shape, rng.integers(0, 3, (n, 12))) for _ in range(2))
+    a, b = (np.where(np.arange(12) < size[:, None], c, 0) for c, size in ((a, la), (b, lb)))
+    made = []
+    got = pair_blocks.by_pattern(lambda *how: (made.append(len(how[0])), distance(*how))[1], a, la, b, lb)
+    assert got.tolist() == distance(a, la, b, lb).tolist() and sum(made) < n / 2
+    assert pair_blocks.by_pattern(distance, a[:0], la[:0], b[:0], lb[:0]).tolist() == []
