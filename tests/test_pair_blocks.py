@@ -79,7 +79,7 @@ def test_edit_similarity_of_queries(spark, lists, monkeypatch):
     assert rounded(got) == rounded(want) != []
 
 
-@pytest.mark.parametrize("metric", ["l_tapered_sim", "levenshtein_D"])
+@pytest.mark.parametrize("metric", ["l_tapered_sim", "levenshtein_D", "levenshtein_tapered"])
 def test_distances_are_made_once_for_a_pattern(metric, monkeypatch):
     """Lists of few shapes, some with nulls and of over 64 places: as many distances as patterns, with the same results."""
     monkeypatch.setattr(pair_blocks, "ALIKE", 20)
